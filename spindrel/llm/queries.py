@@ -8,9 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.functions.runtime import table
+from spindrel.llm.bpe import token_ids
+from spindrel.llm.mixing import mix
+from spindrel.llm.nearcopies import near_copy_groups, near_copy_pairs
 from spindrel.llm.neighbours import nearest
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    memories = table(spark, d, "memories").select(F.lit("memory").alias("kind"), F.col("memory_id").alias("id"), F.col("content").alias("text"))
+    chunks = table(spark, d, "text_chunks").select(F.lit("chunk").alias("kind"), "id", F.col("content").alias("text"))
+    return memories.unionByName(chunks)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_copy_pairs(_texts(spark, d), kind_col="kind")
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_copy_groups(_texts(spark, d), kind_col="kind")
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "graph_nodes").select(F.lit("node").alias("kind"), "id", "embeddings")
     return nodes.unionByName(table(spark, d, "text_chunks").select(F.lit("chunk").alias("kind"), "id", "embeddings"))
@@ -28,8 +45,20 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("kind", "id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids(table(spark, d, "documents"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_neighbours)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_neighbours, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
