@@ -5,11 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrel.functions.runtime import table
+from spindrel.operators import intervals
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = intervals.gaps(table(spark, d, "temporal_edges"), ["source", "target"], "valid_from", "valid_until")
+    ms = lambda c: F.floor(F.col(c) / 1000).cast("long")
+    found = found.select("source", "target", ms("gap_from").alias("gap_from_ms"), ms("gap_until").alias("gap_until_ms"))
+    return found.where("gap_until_ms - gap_from_ms >= 1000")
+
+
+def p3_periods(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.periods(table(spark, d, "temporal_edges"), ["source", "target"], "valid_from", "valid_until")
+
+
+_ISLANDS = """
+with e as (select source, target, epoch_us(valid_from) s,
+    case when valid_until is null or year(valid_until) >= 9999 then 9223372036854775807 else epoch_us(valid_until) end t
+  from temporal_edges where source is not null and target is not null and valid_from is not null and (valid_until is null or valid_until > valid_from)),
+m as (select *, max(t) over (partition by source, target order by s, t rows between unbounded preceding and 1 preceding) prev from e)
+"""
+P3_SQL = {
+    "p3_found": _ISLANDS + "select source, target, prev // 1000 as gap_from_ms, s // 1000 as gap_until_ms from m where s > prev and s // 1000 - prev // 1000 >= 1000",
+    "p3_periods": _ISLANDS + """, g as (select *, sum(case when prev is null or s > prev then 1 else 0 end) over (partition by source, target order by s, t rows unbounded preceding) i from m)
+select source, target, min(s) as period_from, nullif(max(t), 9223372036854775807) as period_until from g group by source, target, i""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p3_found": p3_found, "p3_periods": p3_periods}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(P3_SQL)
