@@ -324,14 +324,12 @@ def nearest(
     pairs = near.groupBy("q", "n").agg(F.max("near").alias("near"))
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "n"))).filter(F.col("r") <= keep)
     stored = rows.select("h", "v", "kind", "id")
-    a = stored.select(F.col("h").alias("q"), F.col("v").alias("va"), "kind", "id")
-    b = stored.select(F.col("h").alias("n"), F.col("v").alias("vb"), F.col("kind").alias("kind_b"), F.col("id").alias("other"))
-    exact = (
+    exact = (  # both sides read the same exchange of the stored vectors
         best.select("q", "n")
-        .join(a, "q")
-        .join(b, "n")
-        .filter((F.col("kind") == F.col("kind_b")) & (F.col("id") != F.col("other")))
-        .select("kind", "id", "other", cosine(F.col("va"), F.col("vb")).alias("cosine"))
+        .join(stored.alias("a"), F.col("q") == F.col("a.h"))
+        .join(stored.alias("b"), F.col("n") == F.col("b.h"))
+        .where("concat(a.kind, chr(31), b.kind) = concat(a.kind, chr(31), a.kind) and a.id <> b.id")  # no join key, or the exchanges would differ
+        .select("a.kind", "a.id", F.col("b.id").alias("other"), cosine(F.col("a.v"), F.col("b.v")).alias("cosine"))
         .groupBy("kind", "id", "other")
         .agg(F.max("cosine").alias("cosine"))
     )
