@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spindrel.functions.runtime import table
 from spindrel.llm.bpe import token_ids
 from spindrel.llm.mixing import mix
+from spindrel.llm.names import entities, linked_pairs
 from spindrel.llm.nearcopies import near_copy_groups, near_copy_pairs
 from spindrel.llm.neighbours import nearest
 
@@ -28,6 +29,10 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_copy_groups(_texts(spark, d), kind_col="kind")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_pairs(entities(table(spark, d, "entity_records"), table(spark, d, "name_aliases")))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "graph_nodes").select(F.lit("node").alias("kind"), "id", "embeddings")
     return nodes.unionByName(table(spark, d, "text_chunks").select(F.lit("chunk").alias("kind"), "id", "embeddings"))
@@ -58,7 +63,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_neighbours, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_neighbours, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
