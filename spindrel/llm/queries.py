@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.functions.runtime import table
+from spindrel.llm import clusters
 from spindrel.llm.bpe import token_ids
 from spindrel.llm.mixing import mix
 from spindrel.llm.names import entities, linked_pairs
@@ -50,6 +51,18 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("kind", "id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "graph_nodes")
+    members = clusters.fit(nodes).members(nodes, "id", "embeddings")
+    return clusters.same_cluster(members, table(spark, d, "cluster_probes"))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "graph_nodes")
+    found = clusters.fit(nodes)
+    return clusters.describe(found, found.members(nodes, "id", "embeddings"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
@@ -63,7 +76,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_neighbours, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_neighbours, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
