@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.functions.runtime import table
-from spindrel.llm import clusters
+from spindrel.llm import clusters, language
 from spindrel.llm.bpe import token_ids
 from spindrel.llm.mixing import mix
 from spindrel.llm.names import entities, linked_pairs
@@ -75,8 +75,26 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_or_further(_languages(spark, d))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("doc_id", "label", "main", F.round("confidence", 4).alias("confidence"))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = _languages(spark, d).select("doc_id", F.posexplode("segments").alias("segment", "s"))
+    return rows.select("doc_id", "segment", "s.begin", "s.until", "s.lang", F.round("s.confidence", 4).alias("confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_neighbours, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_neighbours, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
