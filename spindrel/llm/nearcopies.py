@@ -42,6 +42,7 @@ from spindrel.operators.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
 REGS = 32
+BROADCAST_ROWS = 500_000
 _MASK7, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
@@ -281,10 +282,10 @@ def class_links(
     rows: int = 5,
     hot: int = 20_000,
     seed: int = 11,
-) -> tuple[DataFrame, DataFrame]:
-    """Verified links between class representatives, and the class of every row.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links between class representatives, the class of every row, and classes of several rows.
 
-    The first: (kind, id_a, id_b, cls_a, cls_b, similarity); the second: (kind, id, cls).
+    (kind, id_a, id_b, cls_a, cls_b, similarity), rows may repeat; (kind, id, cls), likewise; (kind, cls, first).
     """
     spark = df.sparkSession
     kind = F.col(kind_col).cast("string") if kind_col else F.lit("")
@@ -292,12 +293,10 @@ def class_links(
     base = base.select("kind", "id", F.xxhash64("kind", "id").alias("h"), "text")
     schema = "kind string, id string, h long, cls long, n int, keys binary, regs binary"
     sig = cut(base.mapInArrow(_signatures(bands, rows, min_words, seed), schema), "signatures")
-    reps = cut(
-        sig.groupBy("kind", "cls")
-        .agg(F.min(F.struct("id", "h", "n", "keys", "regs")).alias("r"))
-        .select(F.xxhash64("kind").alias("kh"), "cls", "r.h", "r.n", "r.keys", "r.regs"),
-        "classes",
-    )
+    copies = sig.groupBy("kind", "cls").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("kind", "cls", "first")
+    copies = cut(copies, "copies")
+    later = sig.select("kind", "cls", "id", "h").join(copies, ["kind", "cls"]).where("id <> first").select("h")
+    reps = cut(sig.join(later, "h", "left_anti").select(F.xxhash64("kind").alias("kh"), "cls", "h", "n", "keys", "regs"), "classes")
     tasks = max(1, reps.rdd.getNumPartitions())
     hot = max(hot, 8 * tasks)
     heavy = reps.select("kh", "keys").mapInArrow(_heavy(bands, max(2, hot // tasks)), "key long, n long")
@@ -309,14 +308,17 @@ def class_links(
     near = blobs.exchange(scattered, parts).mapInArrow(_compare(threshold - 0.25, threshold * 0.98), "a long, b long").distinct()
     pairs = cut(near, "candidates")
     asked = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = base.join(reps.select("h", "cls"), "h").join(asked, "h", "left_semi").dropDuplicates(["h"])
+    asked = cut(asked.join(reps.select("h", "cls"), "h").distinct(), "asked")
+    if asked.count() <= BROADCAST_ROWS:  # 16 bytes a row; beyond that both sides are shuffled
+        asked = F.broadcast(asked)
+    texts = base.join(asked, "h")
     a = texts.select(F.col("h").alias("a"), "kind", F.col("id").alias("id_a"), F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("h").alias("b"), F.col("kind").alias("kind_b"), F.col("id").alias("id_b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").where("kind = kind_b")
     links = both.select("kind", "id_a", "id_b", "cls_a", "cls_b", "text_a", "text_b").mapInArrow(
         _verify(threshold), "kind string, id_a string, id_b string, cls_a long, cls_b long, similarity double"
     )
-    return links, sig.select("kind", "id", "cls").distinct()
+    return links, sig.select("kind", "id", "cls"), copies
 
 
 def near_copy_pairs(df: DataFrame, *, expand: int = 50, **how) -> DataFrame:
@@ -326,9 +328,9 @@ def near_copy_pairs(df: DataFrame, *, expand: int = 50, **how) -> DataFrame:
     members; a larger class is given by pairs of its first member with each
     other one, and links between classes by their first members.
     """
-    links, members = class_links(df, **how)
-    sizes = members.groupBy("kind", "cls").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    many = cut(members.join(sizes, ["kind", "cls"]), "copies")
+    links, members, copies = class_links(df, **how)
+    many = cut(members.join(copies, ["kind", "cls"]).distinct(), "members")
+    many = many.join(many.groupBy("kind", "cls").agg(F.count("*").alias("n")), ["kind", "cls"])
     few = many.where(F.col("n") <= expand).select("kind", "cls", "id")
     order = lambda p: p.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b")
     inside = order(few.select("kind", "cls", F.col("id").alias("x")).join(few.select("kind", "cls", F.col("id").alias("y")), ["kind", "cls"]))
@@ -346,8 +348,8 @@ def near_copy_groups(df: DataFrame, **how) -> DataFrame:
     ``group_id`` is the first id of the connected near-copies, ``links`` the
     number of other word multisets that the row's own is linked to.
     """
-    links, members = class_links(df, **how)
-    links = cut(links, "links")
+    links, members, _ = class_links(df, **how)
+    links, members = cut(links.distinct(), "links"), members.distinct()
     name = lambda c: F.concat_ws("\x1f", F.col("kind"), F.col(c).cast("string"))
     comp = connected_components(links.select(name("cls_a").alias("a"), name("cls_b").alias("b")))
     ends = links.select("kind", F.col("cls_a").alias("cls")).union(links.select("kind", F.col("cls_b").alias("cls")))
