@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.functions.runtime import table
-from spindrel.llm import clusters, language
+from spindrel.llm import clusters, language, personal
 from spindrel.llm.bpe import token_ids
 from spindrel.llm.mixing import mix
 from spindrel.llm.names import entities, linked_pairs
@@ -51,6 +51,16 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("kind", "id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    memories = table(spark, d, "memories")
+    return personal.found(memories, personal.learn(memories, table(spark, d, "name_aliases")))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    memories = table(spark, d, "memories")
+    return personal.redacted(memories, personal.learn(memories, table(spark, d, "name_aliases")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "graph_nodes")
     members = clusters.fit(nodes).members(nodes, "id", "embeddings")
@@ -94,7 +104,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_neighbours, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
