@@ -270,6 +270,12 @@ def _verify(least: float):
     return run
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """Written; to be broadcast if it has few rows (of some dozen bytes), beyond that both sides of a join are shuffled."""
+    df = cut(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def class_links(
     df: DataFrame,
     *,
@@ -294,8 +300,8 @@ def class_links(
     schema = "kind string, id string, h long, cls long, n int, keys binary, regs binary"
     sig = cut(base.mapInArrow(_signatures(bands, rows, min_words, seed), schema), "signatures")
     copies = sig.groupBy("kind", "cls").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("kind", "cls", "first")
-    copies = cut(copies, "copies")
-    later = sig.select("kind", "cls", "id", "h").join(copies, ["kind", "cls"]).where("id <> first").select("h")
+    copies = _small(copies, "copies")
+    later = _small(sig.select("kind", "cls", "id", "h").join(copies, ["kind", "cls"]).where("id <> first").select("h"), "later")
     reps = cut(sig.join(later, "h", "left_anti").select(F.xxhash64("kind").alias("kh"), "cls", "h", "n", "keys", "regs"), "classes")
     tasks = max(1, reps.rdd.getNumPartitions())
     hot = max(hot, 8 * tasks)
@@ -308,10 +314,7 @@ def class_links(
     near = blobs.exchange(scattered, parts).mapInArrow(_compare(threshold - 0.25, threshold * 0.98), "a long, b long").distinct()
     pairs = cut(near, "candidates")
     asked = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    asked = cut(asked.join(reps.select("h", "cls"), "h").distinct(), "asked")
-    if asked.count() <= BROADCAST_ROWS:  # 16 bytes a row; beyond that both sides are shuffled
-        asked = F.broadcast(asked)
-    texts = base.join(asked, "h")
+    texts = base.join(_small(asked.join(reps.select("h", "cls"), "h").distinct(), "asked"), "h")
     a = texts.select(F.col("h").alias("a"), "kind", F.col("id").alias("id_a"), F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("h").alias("b"), F.col("kind").alias("kind_b"), F.col("id").alias("id_b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").where("kind = kind_b")
