@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -42,7 +43,7 @@ def jaro(a: str, b: str) -> float:
     return (len(mine) / len(a) + len(mine) / len(b) + (len(mine) - t) / len(mine)) / 3
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """The prefix bonus always counts; null for nulls."""
 
