@@ -10,12 +10,12 @@ function in compressed form: the leading-zero count and the first mantissa
 bits after it. (One hash function split over all registers, as for large
 sets, would leave most registers of texts of some dozen words empty.) ``bands``
 bands of ``rows`` 16-bit registers are the candidate keys. Candidates of a band
-are compared by 32 registers of 8 bits: the share of equal ones is corrected
+are compared by 24 registers of 8 bits: the share of equal ones is corrected
 for accidental collisions, whose probability follows from the two sizes. What
 remains is verified on the whole texts.
 
-Texts with the same multiset of words form a class first; its member with the
-smallest id stands for it. A band bucket with more than ``hot`` classes is cut
+Texts with the same multiset of words form a class first; one member, the
+first by hash, stands for it. A band bucket with more than ``hot`` classes is cut
 into blocks, and each two blocks meet in a task of their own.
 
 Defined results: rows with a null id or null text, and texts with fewer than
@@ -41,7 +41,7 @@ from spindrel.llm import blobs
 from spindrel.operators.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
-REGS = 32
+REGS = 24
 BROADCAST_ROWS = 500_000
 _MASK7, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
@@ -113,7 +113,8 @@ def _signatures(bands: int, rows: int, min_words: int, seed: int):
                 continue
             starts = np.cumsum(n) - n
             with np.errstate(over="ignore"):
-                cls = blobs.mix(np.add.reduceat(blobs.mix(h), starts) + n.astype(np.uint64))
+                own = np.array([known["\x1f" + (k or "")] for k in batch.column("kind").to_pylist()], np.uint64)[ok]
+                cls = blobs.mix(np.add.reduceat(blobs.mix(h), starts) + n.astype(np.uint64) ^ own)
                 key = np.zeros((len(n), bands), np.uint64)
                 regs = np.zeros((len(n), REGS), np.uint8)
                 for r in range(total):
@@ -291,7 +292,7 @@ def class_links(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verified links between class representatives, the class of every row, and classes of several rows.
 
-    (kind, id_a, id_b, cls_a, cls_b, similarity), rows may repeat; (kind, id, cls), likewise; (kind, cls, first).
+    (kind, id_a, id_b, cls_a, cls_b, similarity), rows may repeat; (kind, id, cls, h), likewise; (cls, first h).
     """
     spark = df.sparkSession
     kind = F.col(kind_col).cast("string") if kind_col else F.lit("")
@@ -299,9 +300,9 @@ def class_links(
     base = base.select("kind", "id", F.xxhash64("kind", "id").alias("h"), "text")
     schema = "kind string, id string, h long, cls long, n int, keys binary, regs binary"
     sig = cut(base.mapInArrow(_signatures(bands, rows, min_words, seed), schema), "signatures")
-    copies = sig.groupBy("kind", "cls").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("kind", "cls", "first")
+    copies = sig.groupBy("cls").agg(F.min("h").alias("first"), F.max("h").alias("last")).where("first <> last").select("cls", "first")
     copies = _small(copies, "copies")
-    later = _small(sig.select("kind", "cls", "id", "h").join(copies, ["kind", "cls"]).where("id <> first").select("h"), "later")
+    later = _small(sig.select("cls", "h").join(copies, "cls").where("h <> first").select("h"), "later")
     reps = cut(sig.join(later, "h", "left_anti").select(F.xxhash64("kind").alias("kh"), "cls", "h", "n", "keys", "regs"), "classes")
     tasks = max(1, reps.rdd.getNumPartitions())
     hot = max(hot, 8 * tasks)
@@ -311,7 +312,7 @@ def class_links(
     count = reps.count()
     parts = partitions(spark, count * bands, 150_000)
     scattered = reps.select("kh", "h", "n", "keys", "regs").mapInArrow(_scatter(bands, parts, blocks), blobs.SCHEMA)
-    near = blobs.exchange(scattered, parts).mapInArrow(_compare(threshold - 0.25, threshold * 0.98), "a long, b long").distinct()
+    near = blobs.exchange(scattered, parts).mapInArrow(_compare(threshold - 0.3, threshold * 0.98), "a long, b long").distinct()
     pairs = cut(near, "candidates")
     asked = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     texts = base.join(_small(asked.join(reps.select("h", "cls"), "h").distinct(), "asked"), "h")
@@ -321,7 +322,7 @@ def class_links(
     links = both.select("kind", "id_a", "id_b", "cls_a", "cls_b", "text_a", "text_b").mapInArrow(
         _verify(threshold), "kind string, id_a string, id_b string, cls_a long, cls_b long, similarity double"
     )
-    return links, sig.select("kind", "id", "cls"), copies
+    return links, sig.select("kind", "id", "cls", "h"), copies
 
 
 def near_copy_pairs(df: DataFrame, *, expand: int = 50, **how) -> DataFrame:
@@ -332,8 +333,9 @@ def near_copy_pairs(df: DataFrame, *, expand: int = 50, **how) -> DataFrame:
     other one, and links between classes by their first members.
     """
     links, members, copies = class_links(df, **how)
-    many = cut(members.join(copies, ["kind", "cls"]).distinct(), "members")
-    many = many.join(many.groupBy("kind", "cls").agg(F.count("*").alias("n")), ["kind", "cls"])
+    many = cut(members.join(copies, "cls").distinct(), "members")
+    sizes = many.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.when(F.col("h") == F.col("first"), F.col("id"))).alias("lead"))
+    many = many.join(sizes, "cls").select("kind", "cls", "id", "n", F.col("lead").alias("first"))
     few = many.where(F.col("n") <= expand).select("kind", "cls", "id")
     order = lambda p: p.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b")
     inside = order(few.select("kind", "cls", F.col("id").alias("x")).join(few.select("kind", "cls", F.col("id").alias("y")), ["kind", "cls"]))
@@ -352,7 +354,7 @@ def near_copy_groups(df: DataFrame, **how) -> DataFrame:
     number of other word multisets that the row's own is linked to.
     """
     links, members, _ = class_links(df, **how)
-    links, members = cut(links.distinct(), "links"), members.distinct()
+    links, members = cut(links.distinct(), "links"), members.select("kind", "id", "cls").distinct()
     name = lambda c: F.concat_ws("\x1f", F.col("kind"), F.col(c).cast("string"))
     comp = connected_components(links.select(name("cls_a").alias("a"), name("cls_b").alias("b")))
     ends = links.select("kind", F.col("cls_a").alias("cls")).union(links.select("kind", F.col("cls_b").alias("cls")))
