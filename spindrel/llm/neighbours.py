@@ -121,7 +121,8 @@ def _count_cells(hashing: Hashing, dim: int):
     return run
 
 
-def _scatter(hashing: Hashing, dim: int, parts: int, hot: dict[int, int]):
+def _scatter(hashing: Hashing, dim: int, parts: int, hot: dict[int, int], asked: bool):
+    """Records of stored rows and queries; where all rows ask (``asked``), a stored row is its own query at home."""
     hot_cells = np.array(sorted(hot), np.int64).view(np.uint64)
     hot_cells.sort()
     hot_blocks = np.array([hot[int(c)] for c in hot_cells.view(np.int64)], np.int64)
@@ -145,7 +146,7 @@ def _scatter(hashing: Hashing, dim: int, parts: int, hot: dict[int, int]):
             for t in range(len(hashing.directions)):
                 cells = [hashing.home(x, t) ^ kind]
                 rows, stored = [np.arange(len(x))], [np.ones(len(x), bool)]
-                visits = hashing.visits(x[asks], t)[:, 1:]
+                visits = hashing.visits(x[asks], t)[:, int(asked) :]
                 rows.append(np.repeat(np.flatnonzero(asks), visits.shape[1]))
                 cells.append((visits ^ kind[asks][:, None]).ravel())
                 stored.append(np.zeros(visits.size, bool))
@@ -156,7 +157,7 @@ def _scatter(hashing: Hashing, dim: int, parts: int, hot: dict[int, int]):
                 if wide.any():  # a stored row keeps its block, a query visits all of them
                     mine = blobs.mix(ids[row].view(np.uint64)) % n.astype(np.uint64)
                     block = np.where(own & wide, mine.astype(np.int64), 0)
-                    i = np.flatnonzero(wide & (~own | asks[row]))
+                    i = np.flatnonzero(wide & (~own | asked))
                     again = np.repeat(i, n[i])
                     every = np.concatenate([np.arange(k) for k in n[i]]) if len(i) else np.zeros(0, np.int64)
                     keep = ~(own[again] & (every == block[again]))
@@ -317,7 +318,7 @@ def nearest(
     parts = partitions(spark, total * tables * (probes + 1), 150_000)
     cells = rows.select("h", "v", F.xxhash64("kind").alias("kh")).mapInArrow(_count_cells(hashing, dim), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     hot_cells = {r["cell"]: math.ceil(r["n"] / hot) for r in cells.filter(F.col("n") > hot).collect()}  # at most tables * rows / hot cells
-    scattered = rows.select("h", "v", F.xxhash64("kind").alias("kh"), "asks").mapInArrow(_scatter(hashing, dim, parts, hot_cells), blobs.SCHEMA)
+    scattered = rows.select("h", "v", F.xxhash64("kind").alias("kh"), "asks").mapInArrow(_scatter(hashing, dim, parts, hot_cells, query is None), blobs.SCHEMA)
     keep = k + spare
     floor = None if min_cosine is None else min_cosine - 0.01
     near = blobs.exchange(scattered, parts).mapInArrow(_search(dim, keep, floor, query is None), "q long, n long, near float")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrel.llm import bpe, clusters, language, mixing, names, nearcopies, neighbours, personal
 
@@ -44,6 +45,20 @@ def test_neighbours_recall_ties_and_invalid(spark):
         assert not {a for a, _ in got} & {"null", "empty", "zero", "nan", "short"}
 
 
+def test_neighbours_of_some_rows_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 64))
+    x[200:300] = x[:100]  # equal and nearly equal vectors share their home cells
+    x[300:] = x[100:200] + 0.03 * rng.standard_normal((100, 64))
+    df = spark.createDataFrame([(f"{i:03d}", [float(v) for v in r], i < 200) for i, r in enumerate(x)], "id string, embeddings array<float>, ask boolean")
+    s = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    np.fill_diagonal(s, -1)
+    want = {(f"{i:03d}", f"{s[i].argmax():03d}") for i in range(200)}
+    for hot in (20_000, 20):
+        got = {(r["id"], r["other"]) for r in neighbours.nearest(df, 1, query=F.col("ask"), tables=3, probes=40, width=4.0, m=8, hot=hot).collect()}
+        assert len(got & want) >= 0.99 * len(want) and {a for a, _ in got} <= {a for a, _ in want}
+
+
 def test_bpe_equals_merges_and_round_trip(spark):
     try:
         code = bpe.encoder(bpe.vocabulary("byte_bpe_50k"))
