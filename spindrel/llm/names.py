@@ -5,7 +5,9 @@ root (surname, first word of an organisation, project word) and its
 companions (given name, branch words). Reading undoes case, accents, digits
 for letters, glued words, order, titles, legal forms and remarks; given names
 go through the nickname table, which quoted nicknames in the data extend, and
-branch words through the words that many organisations share.
+branch words through the words that many organisations share. Given names too
+rare to be known are compared as written: by beginning, or as slips of the pen
+if one of the two is seen with at most a tenth of the other's surnames.
 
 Forms with the same reading are one. Two forms are compared if they share a
 block: nature, companion and the phonetic code of the first or the last half of
@@ -165,7 +167,7 @@ class Reader:
         self.seen_branch: dict[str, str | None] = {}
 
     def given_names(self, w: str, dotted: bool) -> frozenset[str]:
-        """Full given names that a written one may stand for."""
+        """Full given names that a written one may stand for; ``x*`` are all that begin with x, known or not."""
         key = w + "." * dotted
         if key not in self.seen:
             if len(self.seen) > 200_000:
@@ -175,15 +177,13 @@ class Reader:
 
     def _given_names(self, w: str, dotted: bool) -> frozenset[str]:
         if len(w) == 1:
-            return frozenset(g for g in self.given if g[0] == w) or frozenset([w])
+            return frozenset([w + "*"])
         if w in self.nick and not (dotted and w not in self.nick):
             return frozenset(self.nick[w])
         if w in self.given:
             return frozenset([w])
-        if dotted or len(w) <= 3:
-            cut_ = frozenset(g for g in self.given if g.startswith(w))
-            if cut_:
-                return cut_
+        if dotted or len(w) <= 3 and any(g.startswith(w) for g in self.given):
+            return frozenset([w + "*"])
         for most in (1, 2):
             near = frozenset(g for g in self.given if len(g) > 3 and edits(w, g, most) <= most)
             if near and (most == 1 or len(w) >= 6):
@@ -191,6 +191,9 @@ class Reader:
         near = frozenset(x for n, full in self.nick.items() if len(n) > 3 and edits(w, n, 1) <= 1 for x in full)
         return near or frozenset([w])
 
+    def _like_given(self, w: str) -> bool:
+        return any(g in self.given or g.endswith("*") for g in self.given_names(w, False))
+
     def branch_word(self, w: str) -> str | None:
         if w in self.branch:
             return self.branch[w]
@@ -261,7 +264,7 @@ class Reader:
             known = lambda w: len(w) == 1 or w in self.known or (w in dotted and len(w) <= 4)
             if known(ws[-1]) and not known(ws[0]):
                 last, first = ws[:1], ws[1:]
-            elif not known(ws[0]) and not known(ws[-1]) and len(self.given_names(ws[-1], False) & self.given) and not len(self.given_names(ws[0], False) & self.given):
+            elif not known(ws[0]) and not known(ws[-1]) and self._like_given(ws[-1]) and not self._like_given(ws[0]):
                 last, first = ws[:1], ws[1:]
             else:
                 last, first = ws[-1:], ws[:-1]
@@ -303,7 +306,7 @@ def reader_for(records: DataFrame, aliases: DataFrame) -> Reader:
     common = {k: {r["word"]: r["n"] for r in counts.where((F.col("what") == k) & (F.col("n") >= least[k])).collect()} for k in least}
     table = {(r[0].strip().lower(), r[1].strip().lower()) for r in aliases.select("short_name", "given_name").where("short_name is not null and given_name is not null").collect()}
     full = set(common["person"]) | {f for _, f in table}
-    mined = counts.where((F.col("what") == "nick") & (F.col("n") >= max(1, least["person"] // 100)) & F.col("full").isin(list(full))).limit(5000).collect()  # a nickname of a common given name
+    mined = counts.where((F.col("what") == "nick") & (F.col("n") >= max(1, least["person"] // 100)) & F.col("full").isin(list(full))).collect()  # a nickname of a common given name
     return Reader(common["person"], common["org"], table | {(r["word"], r["full"]) for r in mined if r["word"] not in full})
 
 
@@ -315,9 +318,11 @@ def _read(reader: Reader):
                 form = None if placeholder(name) else reader.read(name, type_)
                 if form and form[1]:
                     nature, root, companions = form
-                    rows.append((id_, nature, root, "|".join(companions), len(companions) > 1))
-            cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=["id", "nature", "root", "companions", "open"])
+                    open_ = nature == "person" and (len(companions) > 1 or any(c.endswith("*") for c in companions))
+                    rare = nature == "person" and not open_ and any(c not in reader.known for c in companions)
+                    rows.append((id_, nature, root, "|".join(companions), open_, rare))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), *(pa.array(c, pa.bool_()) for c in cols[4:])], names=["id", "nature", "root", "companions", "open", "rare"])
 
     return run
 
@@ -325,15 +330,15 @@ def _read(reader: Reader):
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for form, nature, root, companions, open_ in zip(*(batch.column(c).to_pylist() for c in ("form", "nature", "root", "companions", "open")), strict=True):
+        for form, nature, root, companions, open_, breadth in zip(*(batch.column(c).to_pylist() for c in ("form", "nature", "root", "companions", "open", "breadth")), strict=True):
             code = phonetic(root)
             half = 4
             heads = sorted({c[0] for c in companions.split("|") if c}) or [""] if nature == "person" else [companions]
             for part in {"<" + code[:half], ">" + code[-half:]}:
-                rows += [(f"{nature}/{h}/{part}", form, root, companions, open_) for h in heads]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "form", "root", "companions", "open"])
+                rows += [(f"{nature}/{h}/{part}", form, root, companions, open_, breadth) for h in heads]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "form", "root", "companions", "open", "breadth"])
 
 
 def same_root(a: str, b: str, least: float) -> bool:
@@ -344,20 +349,33 @@ def same_root(a: str, b: str, least: float) -> bool:
     return abs(len(a) - len(b)) <= most and jaro_winkler(a, b) >= least and edits(a, b, most) <= most
 
 
+def fits(choice: str, given: str) -> bool:
+    """Whether one of the given names that an open form leaves is that of another form."""
+    return any(given.startswith(c[:-1]) if c.endswith("*") else c == given for c in choice.split("|"))
+
+
+def slip(a: str, b: str, n: int, m: int) -> bool:
+    """Whether one of two rare given names, seen with ``n`` and ``m`` surnames, is a slip of the pen of the other."""
+    short = min(len(a), len(b))
+    most = 2 if short >= 8 else 1
+    return short >= 4 and min(n, m) <= max(1, 0.1 * max(n, m)) and edits(a, b, most) <= most
+
+
 def _pairs(least: float):
     """Accepted pairs of each block; the input comes block by block."""
 
     def compare(rows: list[tuple]) -> Iterator[tuple]:
-        for i, (f, root, comp, open_) in enumerate(rows):
-            mine = set(comp.split("|"))
-            for g, other, comp2, open2 in rows[i + 1 :]:
+        for i, (f, root, comp, open_, n) in enumerate(rows):
+            for g, other, comp2, open2, m in rows[i + 1 :]:
                 if open_ and open2 or f == g:
                     continue
                 if open_ != open2:
-                    if mine & set(comp2.split("|")) and same_root(root, other, least):
+                    if (fits(comp2, comp) if open2 else fits(comp, comp2)) and same_root(root, other, least):
                         yield (g, f, True) if open2 else (f, g, True)
-                elif comp == comp2 and same_root(root, other, least):
+                elif (comp == comp2 or n and m and slip(comp, comp2, n, m)) and same_root(root, other, least):
                     yield f, g, False
+                elif comp != comp2 and (n and 2 <= len(comp) <= 3 and comp2.startswith(comp) or m and 2 <= len(comp2) <= 3 and comp.startswith(comp2)) and same_root(root, other, least):
+                    yield (f, g, True) if len(comp) < len(comp2) else (g, f, True)  # may be cut off
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows, out = None, [], []
@@ -382,23 +400,31 @@ def entities(records: DataFrame, aliases: DataFrame, *, least: float = 0.9, hot:
     spark = records.sparkSession
     rows = records.select("id", "type", "name").where("id is not null and name is not null").distinct()
     reader = reader_for(rows, aliases)
-    forms = rows.mapInArrow(_read(reader), "id string, nature string, root string, companions string, open boolean")
+    forms = rows.mapInArrow(_read(reader), "id string, nature string, root string, companions string, open boolean, rare boolean")
     forms = cut(forms.withColumn("form", F.xxhash64("nature", "root", "companions")), "forms")
-    distinct = forms.select("form", "nature", "root", "companions", "open").distinct()
-    blocks = cut(distinct.mapInArrow(_blocks, "block string, form long, root string, companions string, open boolean"), "blocks")
+    distinct = forms.select("form", "nature", "root", "companions", "open", "rare").distinct()
+    breadth = distinct.where("rare").groupBy("companions").agg(F.count_distinct("root").alias("breadth")).withColumn("rare", F.lit(True))
+    distinct = distinct.join(breadth, ["companions", "rare"], "left").withColumn("breadth", F.coalesce("breadth", F.lit(0)))
+    blocks = cut(distinct.mapInArrow(_blocks, "block string, form long, root string, companions string, open boolean, breadth long"), "blocks")
     wide = blocks.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("block", F.ceil(F.col("n") / hot).cast("int").alias("k"))
     cells = blocks.join(F.broadcast(wide) if wide.limit(10_001).count() <= 10_000 else wide, "block", "left").withColumn("mine", F.pmod(F.xxhash64("form"), F.coalesce("k", F.lit(1))).cast("int"))
     every = F.expr("transform(sequence(0, coalesce(k, 1) - 1), x -> concat_ws('#', block, least(x, mine), greatest(x, mine)))")  # a part of a wide block meets each other part
-    cells = cells.select(F.explode(every).alias("block"), "form", "root", "companions", "open")
+    cells = cells.select(F.explode(every).alias("block"), "form", "root", "companions", "open", "breadth")
     parts = partitions(spark)
     near = cells.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_pairs(least), "a long, b long, open boolean").distinct()
     near = cut(near, "pairs")
     comp = connected_components(near.where("not open"))
     sure = forms.where("not open").select("form").distinct().join(comp, F.col("form") == F.col("node"), "left").select("form", F.coalesce("component", "form").alias("entity"))
     sure = cut(sure, "sure")
-    only = near.where("open").select(F.col("a").alias("form"), F.col("b").alias("to")).join(sure.select(F.col("form").alias("to"), "entity"), "to")
-    only = only.groupBy("form").agg(F.min("entity").alias("entity"), F.max("entity").alias("most")).where("entity = most").select("form", "entity")
-    named = sure.union(only)
+    choice = cut(near.where("open").select(F.col("a").alias("form"), F.col("b").alias("to")), "choices")
+
+    def only(of: DataFrame) -> DataFrame:
+        fit = of.join(sure.select(F.col("form").alias("to"), "entity"), "to").groupBy("form").agg(F.min("entity").alias("entity"), F.max("entity").alias("most"))
+        return fit.where("entity = most").select("form", "entity")
+
+    moved = only(choice.join(sure.select("form"), "form", "left_semi"))  # rare given names that may be cut off
+    sure = cut(moved.union(sure.join(moved, "form", "left_anti")), "moved")
+    named = sure.union(only(choice.join(sure.select("form"), "form", "left_anti")))
     return forms.join(named, "form", "left").select("id", F.coalesce("entity", "form").alias("entity")).distinct()
 
 

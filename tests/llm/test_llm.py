@@ -96,6 +96,15 @@ def test_entities_with_nulls_and_empty(spark):
     assert names.linked_pairs(names.entities(df.limit(0), alias.limit(0))).count() == 0
 
 
+def test_entities_with_rare_given_names(spark):
+    wanted = ["Zbigniew Hupefalo", "Z. Hupefalo", "Zbigneiw Hupefalo", "Zbig. Hupefalo", "hupefalo, zbi"]
+    rows = [(f"{i}", "person", n) for i, n in enumerate([*wanted, "Noemi Lifataso", "Naomi Lifataso", "N. Lifataso", "Zbigniew Cozemira"])]
+    df = spark.createDataFrame(rows, "id string, type string, name string")
+    alias = spark.createDataFrame([("Debbie", "Deborah")], "short_name string, given_name string")
+    got = {tuple(r) for r in names.linked_pairs(names.entities(df, alias)).collect()}
+    assert got == {(str(a), str(b)) for a in range(5) for b in range(a + 1, 5)}
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((3, 64))
