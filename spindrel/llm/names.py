@@ -320,9 +320,9 @@ def _read(reader: Reader):
                     nature, root, companions = form
                     open_ = nature == "person" and (len(companions) > 1 or any(c.endswith("*") for c in companions))
                     rare = nature == "person" and not open_ and any(c not in reader.known for c in companions)
-                    rows.append((id_, nature, root, "|".join(companions), open_, rare))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), *(pa.array(c, pa.bool_()) for c in cols[4:])], names=["id", "nature", "root", "companions", "open", "rare"])
+                    rows.append((id_, name, nature, root, "|".join(companions), open_, rare))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:5]), *(pa.array(c, pa.bool_()) for c in cols[5:])], names=["id", "spelling", "nature", "root", "companions", "open", "rare"])
 
     return run
 
@@ -396,12 +396,12 @@ def _pairs(least: float):
 
 
 def entities(records: DataFrame, aliases: DataFrame, *, least: float = 0.9, hot: int = 2000) -> DataFrame:
-    """(id, entity): the entity of every record with a name; ``entity`` is opaque."""
+    """(id, entity, spelling): the entity of every record with a name, the hash of its name; ``entity`` is opaque."""
     spark = records.sparkSession
     rows = records.select("id", "type", "name").where("id is not null and name is not null").distinct()
     reader = reader_for(rows, aliases)
-    forms = rows.mapInArrow(_read(reader), "id string, nature string, root string, companions string, open boolean, rare boolean")
-    forms = cut(forms.withColumn("form", F.xxhash64("nature", "root", "companions")), "forms")
+    forms = rows.mapInArrow(_read(reader), "id string, spelling string, nature string, root string, companions string, open boolean, rare boolean")
+    forms = cut(forms.withColumn("form", F.xxhash64("nature", "root", "companions")).withColumn("spelling", F.xxhash64("spelling")), "forms")
     distinct = forms.select("form", "nature", "root", "companions", "open", "rare").distinct()
     breadth = distinct.where("rare").groupBy("companions").agg(F.count_distinct("root").alias("breadth")).withColumn("rare", F.lit(True))
     distinct = distinct.join(breadth, ["companions", "rare"], "left").withColumn("breadth", F.coalesce("breadth", F.lit(0)))
@@ -425,14 +425,19 @@ def entities(records: DataFrame, aliases: DataFrame, *, least: float = 0.9, hot:
     moved = only(choice.join(sure.select("form"), "form", "left_semi"))  # rare given names that may be cut off
     sure = cut(moved.union(sure.join(moved, "form", "left_anti")), "moved")
     named = sure.union(only(choice.join(sure.select("form"), "form", "left_anti")))
-    return forms.join(named, "form", "left").select("id", F.coalesce("entity", "form").alias("entity")).distinct()
+    return forms.join(named, "form", "left").select("id", F.coalesce("entity", "form").alias("entity"), "spelling").distinct()
 
 
 def linked_pairs(found: DataFrame, expand: int = 200) -> DataFrame:
-    """(id_a, id_b): all pairs of an entity of up to ``expand`` records; of a larger one its first record with each other."""
-    own = found.groupBy("entity").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first")).where("n > 1")
-    rows = cut(found.join(own, "entity"), "members")
-    few = rows.where(F.col("n") <= expand)
-    pairs = few.select("entity", F.col("id").alias("id_a")).join(few.select("entity", F.col("id").alias("id_b")), "entity").select("id_a", "id_b")
+    """(id_a, id_b): all pairs of an entity; of more than ``expand`` records with an equal name
+    only the first is paired with the other names, and with each of its copies."""
+    copies = found.groupBy("entity", "spelling").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first"))
+    rows = cut(found.join(copies, ["entity", "spelling"]), "members")
+    standing = rows.where((F.col("n") <= expand) | (F.col("id") == F.col("first"))).select("entity", "id").distinct()
+    size = standing.groupBy("entity").agg(F.count("*").alias("size")).where("size > 1").withColumn("k", F.ceil(F.col("size") / 2000).cast("int"))
+    standing = cut(standing.join(size, "entity"), "standing")
+    left = standing.select("entity", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("part"), F.col("id").alias("id_a"))  # a large entity is joined in parts
+    right = standing.select("entity", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("id").alias("id_b"))
+    pairs = left.join(right, ["entity", "part"]).select("id_a", "id_b")
     star = rows.where(F.col("n") > expand).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
     return pairs.union(star).where("id_a < id_b").distinct()

@@ -34,6 +34,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_pairs(entities(table(spark, d, "entity_records"), table(spark, d, "name_aliases")))
 
 
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entity of every record with a name."""
+    return entities(table(spark, d, "entity_records"), table(spark, d, "name_aliases")).select("id", "entity").distinct()
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "graph_nodes").select(F.lit("node").alias("kind"), "id", "embeddings")
     return nodes.unionByName(table(spark, d, "text_chunks").select(F.lit("chunk").alias("kind"), "id", "embeddings"))
@@ -104,7 +109,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_entities, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -105,6 +105,13 @@ def test_entities_with_rare_given_names(spark):
     assert got == {(str(a), str(b)) for a in range(5) for b in range(a + 1, 5)}
 
 
+def test_linked_pairs_of_a_large_entity(spark):
+    rows = [(f"{i:02d}", 1, i) for i in range(9)] + [(f"{i:02d}", 1, 9) for i in range(9, 20)] + [("x", 2, 1)]
+    df = spark.createDataFrame(rows, "id string, entity long, spelling long")
+    got = {tuple(r) for r in names.linked_pairs(df, expand=5).collect()}
+    assert got == {(f"{a:02d}", f"{b:02d}") for a in range(10) for b in range(a + 1, 10)} | {("09", f"{b:02d}") for b in range(10, 20)}
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((3, 64))
