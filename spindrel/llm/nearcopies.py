@@ -10,9 +10,10 @@ function in compressed form: the leading-zero count and the first mantissa
 bits after it. (One hash function split over all registers, as for large
 sets, would leave most registers of texts of some dozen words empty.) ``bands``
 bands of ``rows`` 16-bit registers are the candidate keys. Candidates of a band
-are compared by 32 registers of 8 bits: the share of equal ones is corrected
-for accidental collisions, whose probability follows from the two sizes. What
-remains is verified on the whole texts.
+are compared by 32 registers of 4 bits (the leading-zero count modulo 4 and two
+mantissa bits): the share of equal ones is corrected for accidental collisions,
+whose probability follows from the two sizes. What remains is verified on the
+whole texts, which are shuffled at every size of the collection.
 
 Texts with the same multiset of words form a class first; one member, the
 first by hash, stands for it. A band bucket with more than ``hot`` classes is cut
@@ -43,7 +44,7 @@ from spindrel.operators.components import connected_components
 WORD = re.compile(r"[^\W_]+")
 REGS = 32
 BROADCAST_ROWS = 500_000
-_MASK7, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+_LOW = np.uint64(0x1111111111111111)
 
 
 def words(text: str) -> list[str]:
@@ -84,14 +85,13 @@ def compress(least: np.ndarray, mantissa: int) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(63 - exponent, 0, 63).astype(np.uint64), tail
 
 
-def collision_table(lz_bits: int = 4, mantissa: int = 4, sizes: int = 24) -> np.ndarray:
-    """P(two unrelated registers are equal) for texts of 2**(i/2) and 2**(j/2) words."""
-    top = 1 << lz_bits
+def collision_table(top: int = 32, kept: int = 4, mantissa: int = 2, sizes: int = 24) -> np.ndarray:
+    """P(two unrelated registers are equal) for texts of 2**(i/2) and 2**(j/2) words; leading zeros count modulo ``kept``."""
     edges = [2.0 ** -(k + 1) * (1 + j / (1 << mantissa)) for k in range(top - 1, -1, -1) for j in range(1 << mantissa)]
     edges = np.array([0.0, *sorted(edges)[1:], 1.0])
     n = 2.0 ** (np.arange(sizes) / 2)
     tail = (1 - edges[None, :]) ** n[:, None]
-    p = tail[:, :-1] - tail[:, 1:]
+    p = (tail[:, :-1] - tail[:, 1:]).reshape(sizes, top // kept, kept << mantissa).sum(axis=1)
     return p @ p.T
 
 
@@ -116,12 +116,12 @@ def _signatures(bands: int, rows: int, min_words: int, seed: int):
                 own = np.array([known["\x1f" + (k or "")] for k in batch.column("kind").to_pylist()], np.uint64)[ok]
                 cls = blobs.mix(np.add.reduceat(blobs.mix(h), starts) + n.astype(np.uint64) ^ own)
                 key = np.zeros((len(n), bands), np.uint64)
-                regs = np.zeros((len(n), REGS), np.uint8)
+                regs = np.zeros((len(n), REGS // 2), np.uint8)
                 for r in range(total):
                     least = np.minimum.reduceat(h * mult[r] + add[r], starts)
                     lz, tail = compress(least, 10)
                     if r < REGS:
-                        regs[:, r] = (np.minimum(lz, 15) << np.uint64(4) | (tail >> np.uint64(6))).astype(np.uint8)
+                        regs[:, r // 2] |= (((lz & np.uint64(3)) << np.uint64(2) | tail >> np.uint64(8)) << np.uint64(4 * (r % 2))).astype(np.uint8)
                     if r < bands * rows:
                         key[:, r // rows] = blobs.mix(key[:, r // rows] ^ (lz << np.uint64(10) | tail) + np.uint64(r))
             at = pa.array(np.flatnonzero(ok))
@@ -143,7 +143,7 @@ def _signatures(bands: int, rows: int, min_words: int, seed: int):
 
 
 def _record() -> np.dtype:
-    return np.dtype([("key", "<u4"), ("h", "<i8"), ("n", "<u2"), ("regs", "<u8", (REGS // 8,))])
+    return np.dtype([("key", "<u4"), ("h", "<i8"), ("n", "<u2"), ("regs", "<u8", (REGS // 16,))])
 
 
 def _keys(batch: pa.RecordBatch, bands: int) -> np.ndarray:
@@ -195,7 +195,7 @@ def _scatter(bands: int, parts: int, hot: dict[int, int]):
             out["key"] = (key >> np.uint64(32)).astype(np.uint32)
             out["h"] = h[row]
             out["n"] = batch.column("n").to_numpy()[row]
-            out["regs"] = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint64).reshape(-1, REGS // 8)[row]
+            out["regs"] = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint64).reshape(-1, REGS // 16)[row]
             got = blobs.pack((key % np.uint64(parts)).astype(np.int32), out)
             if got is not None:
                 yield got
@@ -206,10 +206,12 @@ def _scatter(bands: int, parts: int, hot: dict[int, int]):
 def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Jaccard similarity by the equal registers, corrected for collisions."""
     x = ra ^ rb
-    same = 8 * x.shape[1] - np.bitwise_count((((x & _MASK7) + _MASK7) | x) & _HIGH).sum(axis=1, dtype=np.int64)
+    x |= x >> np.uint64(2)
+    total = 16 * x.shape[1]
+    same = total - np.bitwise_count((x | x >> np.uint64(1)) & _LOW).sum(axis=1, dtype=np.int64)
     i, j = (np.minimum(np.rint(2 * np.log2(np.maximum(n, 1))).astype(np.int64), len(table) - 1) for n in (na, nb))
     c = table[i, j]
-    return (same / (8 * x.shape[1]) - c) / (1 - c)
+    return (same / total - c) / (1 - c)
 
 
 def _compare(least: float, size_ratio: float):
@@ -302,9 +304,11 @@ def class_links(
     sig = cut(base.mapInArrow(_signatures(bands, rows, min_words, seed), schema), "signatures")
     copies = sig.groupBy("cls").agg(F.min("h").alias("first"), F.max("h").alias("last")).where("first <> last").select("cls", "first")
     copies = _small(copies, "copies")
-    later = _small(sig.select("cls", "h").join(copies, "cls").where("h <> first").select("h"), "later")
-    reps = cut(sig.join(later, "h", "left_anti").select(F.xxhash64("kind").alias("kh"), "cls", "h", "n", "keys", "regs"), "classes")
-    tasks = max(1, reps.rdd.getNumPartitions())
+    later = cut(sig.select("cls", "h").join(copies, "cls").where("h <> first").select("h"), "later")
+    few = later.count() <= BROADCAST_ROWS
+    reps = sig.join(F.broadcast(later) if few else later, "h", "left_anti").select(F.xxhash64("kind").alias("kh"), "cls", "h", "n", "keys", "regs")
+    reps = reps if few else cut(reps, "classes")
+    tasks = max(1, sig.rdd.getNumPartitions())
     hot = max(hot, 8 * tasks)
     heavy = reps.select("kh", "keys").mapInArrow(_heavy(bands, max(2, hot // tasks)), "key long, n long")
     blocks = {r["key"]: max(2, math.ceil((r["n"] + hot) / hot)) for r in heavy.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot // 2).collect()}
@@ -315,10 +319,11 @@ def class_links(
     near = blobs.exchange(scattered, parts).mapInArrow(_compare(threshold - 0.25, threshold * 0.98), "a long, b long").distinct()
     pairs = cut(near, "candidates")
     asked = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = base.join(_small(asked.join(reps.select("h", "cls"), "h").distinct(), "asked"), "h")
+    known = sig.select("h", "cls").distinct()
+    texts = base.join(asked.hint("merge"), "h").join(known.hint("merge"), "h")  # no side is small when the collection is not
     a = texts.select(F.col("h").alias("a"), "kind", F.col("id").alias("id_a"), F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("h").alias("b"), F.col("kind").alias("kind_b"), F.col("id").alias("id_b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "a").join(b, "b").where("kind = kind_b")
+    both = a.join(pairs.hint("merge"), "a").join(b.hint("merge"), "b").where("kind = kind_b")
     links = both.select("kind", "id_a", "id_b", "cls_a", "cls_b", "text_a", "text_b").mapInArrow(
         _verify(threshold), "kind string, id_a string, id_b string, cls_a long, cls_b long, similarity double"
     )
