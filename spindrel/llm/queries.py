@@ -67,15 +67,12 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "graph_nodes")
-    members = clusters.fit(nodes).members(nodes, "id", "embeddings")
+    members, _ = clusters.cluster(table(spark, d, "graph_nodes"))
     return clusters.same_cluster(members, table(spark, d, "cluster_probes"))
 
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "graph_nodes")
-    found = clusters.fit(nodes)
-    return clusters.describe(found, found.members(nodes, "id", "embeddings"))
+    return clusters.describe(*clusters.cluster(table(spark, d, "graph_nodes")))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

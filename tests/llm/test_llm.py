@@ -115,13 +115,40 @@ def test_linked_pairs_of_a_large_entity(spark):
 def test_clusters(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((3, 64))
-    rows = [(f"{c}-{i}", [float(v) for v in centres[c] + 0.6 * rng.standard_normal(64)]) for c in range(3) for i in range(60)] + [("null", None)]
-    df = spark.createDataFrame(rows, "id string, embeddings array<float>")
-    found = clusters.fit(df, landmarks=30)
-    members = {r["id"]: r["cluster"] for r in found.members(df, "id", "embeddings").collect()}
-    assert len({members[f"{c}-0"] for c in range(3)}) == 3 and "null" not in members
-    assert all(members[f"{c}-{i}"] == members[f"{c}-0"] for c in range(3) for i in range(60))
-    assert clusters.fit(df.limit(0)).members(df, "id", "embeddings").count() == 0
+    rows = [(f"{c}-{i}", [float(v) for v in centres[c] + 0.6 * rng.standard_normal(64)], 1) for c in range(3) for i in range(60)]
+    rows += [("null", None, 1), ("zero", [0.0] * 64, 1), ("short", [1.0], 1), ("nan", [float("nan")] * 64, 1), (None, rows[0][1], 1), rows[0]]
+    rows += [("far", [float(v) for v in rng.standard_normal(64)], 1)]
+    df = spark.createDataFrame(rows, "id string, embeddings array<float>, cluster int")
+    for how in ({}, {"one_block": 8, "cell": 64, "row_block": 16}):  # the second ends with the distributed squaring
+        members, found = clusters.cluster(df, **how)
+        got = {r["id"]: r["cluster"] for r in members.collect()}
+        assert len({got[f"{c}-0"] for c in range(3)}) == 3 and len(got) == 180
+        assert all(got[f"{c}-{i}"] == got[f"{c}-0"] for c in range(3) for i in range(60))
+        top = {r["cluster"]: r for r in clusters.describe(members, found, 4).collect()}
+        assert all(r["size"] == 60 and len(r["members"]) == 4 and {got[m] for m in r["members"]} == {c} for c, r in top.items())
+    assert clusters.cluster(df.limit(0))[0].count() == 0
+
+
+def test_clusters_many_and_small(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"{c}-{i}", [float(v) for v in x + 0.3 * rng.standard_normal(64)]) for c, x in enumerate(rng.standard_normal((600, 64))) for i in range(4)]
+    members, found = clusters.cluster(spark.createDataFrame(rows, "id string, embeddings array<float>"), least_size=3, row_edge=0.6)
+    got = {r["id"]: r["cluster"] for r in members.collect()}
+    assert sum(len({got.get(f"{c}-{i}", c) for i in range(4)}) == 1 for c in range(600)) >= 590 and found.count() >= 590
+
+
+def test_markov_by_joins_equals_one_block(spark):
+    rng = np.random.default_rng(9)
+    w = rng.random((30, 30)) * (rng.random((30, 30)) < 0.03)
+    for g in range(3):
+        w[g * 10 : g * 10 + 10, g * 10 : g * 10 + 10] = 1
+    w = np.maximum(w, w.T)
+    np.fill_diagonal(w, w.max(axis=1))
+    i, j = np.nonzero(w)
+    edges = spark.createDataFrame([(int(a), int(b), float(w[a, b])) for a, b in zip(i, j)], "i int, j int, w double")
+    got = {r["node"]: r["attractor"] for r in clusters.markov(edges).collect()}
+    own = clusters.flow_attractors(w)
+    assert len({got[i] for i in range(30)}) == 3 and all((got[a] == got[b]) == (own[a] == own[b]) for a in range(30) for b in range(30))
 
 
 def test_language_sentences_and_labels(spark):
