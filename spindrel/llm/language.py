@@ -8,15 +8,15 @@ landmark sentences. As the kernel is a product of presence vectors, all
 landmarks and weights fold into one matrix of slots by languages, and a batch
 of sentences is scored by one product with it.
 
-The model is fitted on a bounded sample: ``per_language`` sentences of documents
-labelled with each language, the first by hash. Labels may be wrong and
+The model is fitted on a bounded sample: ``per_language`` sentences of as many
+documents labelled with each language, the first by hash. Labels may be wrong and
 documents mixed, so sentences that the fit itself gives to another language
 are moved there, and the fit is repeated.
 
 Code, links, markup, names (capitalised words within a sentence) and quoted
 phrases of up to six words don't count. The main language has the most letters of
-the document; a further one needs a whole sentence of ``also_letters`` letters
-that it wins by ``margin``. Shorter or unclear sentences go with the ones before them.
+the document; a further one needs a whole sentence of ``also_letters`` letters,
+names included (twice as many without an end mark), that it wins by ``margin``. Shorter or unclear sentences go with the ones before them.
 
 Defined results: every row of the input gives one row; null, empty and symbol-only texts
 have no language, confidence 0 and no segments; a label in any known
@@ -57,6 +57,8 @@ MASKED = re.compile(
 CODE_LINE = re.compile(r"^[^\n]*$", re.M)
 BREAK = re.compile(r"(?<!\b[A-ZА-Я])(?<!\bMr)(?<!\bMrs)(?<!\bMs)(?<!\bDr)(?<!\bProf)(?<!\bEng)[.!?…]+[\"”»)]*(?=\s|$)|\n+")
 LETTER = re.compile(r"[^\W\d_]")
+END = re.compile(r"[.!?…]+[\"”»)]*\s*$")
+NOT_LETTER = re.compile(r"[\W\d_]+")
 NAME = re.compile(r"(?<=\S)(\s+)[A-ZÀ-ÖØ-ÞА-Я][\w’'-]*")
 
 
@@ -78,8 +80,8 @@ def _mask(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", found)
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, what counts of it) of each sentence."""
+def sentences(text: str) -> list[tuple[int, int, str, int]]:
+    """(begin, end, what counts of it, letters of all of it) of each sentence; without an end mark (a heading) half its letters."""
     plain = MASKED.sub(_mask, text)
     out, at = [], 0
     for m in [*BREAK.finditer(plain), None]:
@@ -88,18 +90,20 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         if LETTER.search(part):
             kept = part.strip(" \t\r\n#*->|=•")
             shown = NAME.sub(r"\1", kept) if not kept.isupper() else kept
-            if len(LETTER.findall(shown)) < 0.3 * len(LETTER.findall(kept)):
-                shown = kept
-            out.append((at, end, re.sub(r"[\W\d_]+", " ", shown.lower()).strip()))
+            whole, shown = NOT_LETTER.sub(" ", kept.lower()).strip(), NOT_LETTER.sub(" ", shown.lower()).strip()
+            letters = len(whole) - whole.count(" ")
+            if len(shown) - shown.count(" ") < 0.3 * letters:
+                shown = whole
+            out.append((at, end, shown, letters if END.search(part) else letters // 2))
         at = end
     return out
 
 
 def grams(texts: list[str], dims: int, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and slots of the distinct n-grams of each text, ordered by row."""
+    """Rows and slots of the distinct n-grams of each text, ordered by row; fewer than 2**31 / dims texts."""
     joined = "".join(f" {t} " for t in texts)
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    row = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in texts])
     keys = []
     h = np.zeros(len(code), np.uint64)
     with np.errstate(over="ignore"):
@@ -109,9 +113,10 @@ def grams(texts: list[str], dims: int, most: int = 4) -> tuple[np.ndarray, np.nd
                 break
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
             ok = row[: len(h)] == row[n - 1 :]
-            keys.append((row[: len(h)][ok].astype(np.int64) * dims) + (mixed[ok] >> np.uint64(40)).astype(np.int64) % dims)
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return key // dims, key % dims
+            keys.append(row[: len(h)][ok] * np.int32(dims) + ((mixed[ok] >> np.uint64(40)) % np.uint64(dims)).astype(np.int32))
+    key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int32)
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    return key // np.int32(dims), key % np.int32(dims)
 
 
 class Model:
@@ -155,12 +160,12 @@ def fit_sentences(texts: list[str], labels: np.ndarray, *, dims: int = 1 << 15,
     return Model((z.T @ alpha).astype(np.float32), bias.astype(np.float32))
 
 
-def _sample(per_task: int):
+def _sample():
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, lang, h in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), batch.column("h").to_pylist(), strict=True):
-                for i, (_, _, s) in enumerate(sentences(text)):
+                for i, (_, _, s, _) in enumerate(sentences(text)):
                     if 30 <= len(s) <= 400:
                         rows.append((lang, s, hash((h, i)) & 0x7FFFFFFF))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
@@ -171,21 +176,24 @@ def _sample(per_task: int):
 
 def fit(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_language: int = 700, **how) -> Model | None:
     """Model of a bounded sample of labelled sentences; None if there are none."""
-    rows = df.select(F.col(text_col).alias("text"), label_language(F.col(label_col)).alias("lang"), F.xxhash64(id_col).alias("h")).where("text is not null and lang is not null")
+    rows = df.select(F.col(text_col).alias("text"), label_language(F.col(label_col)).alias("lang"), F.xxhash64(id_col).alias("h")).where("length(text) > 0 and lang is not null")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    drawn = rows.select("lang", "h").withColumn("n", first).where(F.col("n") <= per_language).select("h").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("r", "s"))
-    got = rows.mapInArrow(_sample(per_language), "lang string, s string, r long").withColumn("n", rank).where(F.col("n") <= per_language).select("lang", "s").collect()
+    got = rows.join(F.broadcast(drawn), "h", "left_semi").mapInArrow(_sample(), "lang string, s string, r long")  # drawn: at most per_language documents a language
+    got = got.withColumn("n", rank).where(F.col("n") <= per_language).select("lang", "s").collect()
     if not got:
         return None
     got = sorted((r["lang"], r["s"]) for r in got)
     return fit_sentences([s for _, s in got], np.array([LANGS.index(lang) for lang, _ in got]), **how)
 
 
-def judge(spans: list[tuple[int, int, str]], scores: np.ndarray, also_letters: int, margin: float) -> tuple[str, float, list[str], list[dict]]:
+def judge(spans: list[tuple[int, int, str, int]], scores: np.ndarray, also_letters: int, margin: float) -> tuple[str, float, list[str], list[dict]]:
     """Main language, its confidence, further languages and segments of a document."""
     order = np.argsort(-scores, axis=1)
     lead = np.take_along_axis(scores, order[:, :1], axis=1)[:, 0] - np.take_along_axis(scores, order[:, 1:2], axis=1)[:, 0]
-    letters = np.array([len(s.replace(" ", "")) for _, _, s in spans])
-    sure = (letters >= also_letters) & (lead >= margin)
+    letters = np.array([len(s) - s.count(" ") for _, _, s, _ in spans])
+    sure = (np.array([n for *_, n in spans]) >= also_letters) & (lead >= margin)
     mass = np.zeros(len(LANGS))
     np.add.at(mass, order[:, 0], letters * np.maximum(lead, 0.02))
     best = order[:, 0].copy()
@@ -202,7 +210,7 @@ def judge(spans: list[tuple[int, int, str]], scores: np.ndarray, also_letters: i
     confidence = float((p[best == main, main] * weight).sum() / max(weight.sum(), 1))
     also = sorted({LANGS[b] for b, ok in zip(best, sure, strict=True) if ok and b != main})
     segments: list[dict] = []
-    for (begin, end, _), b, q in zip(spans, best, p, strict=True):
+    for (begin, end, *_), b, q in zip(spans, best, p, strict=True):
         if segments and segments[-1]["lang"] == LANGS[b]:
             segments[-1]["until"] = end
             segments[-1]["_q"].append(float(q[b]))
@@ -228,7 +236,7 @@ def _identify(model: Model | None, also_letters: int, margin: float, id_type: pa
                 batch = whole.slice(at, 500)
                 texts = batch.column("text").to_pylist()
                 spans = [sentences(t) if t and model else [] for t in texts]
-                scores = model.scores([s for x in spans for _, _, s in x]) if model else np.zeros((0, len(LANGS)))
+                scores = model.scores([s for x in spans for _, _, s, _ in x]) if model else np.zeros((0, len(LANGS)))
                 out, k = [], 0
                 for t, x in zip(texts, spans, strict=True):
                     n = len(LETTER.findall(t)) if t else 0
@@ -240,7 +248,7 @@ def _identify(model: Model | None, also_letters: int, margin: float, id_type: pa
     return run
 
 
-def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", also_letters: int = 22, margin: float = 0.35) -> DataFrame:
+def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", also_letters: int = 8, margin: float = 0.35) -> DataFrame:
     """(id, label, letters, main, confidence, also, segments): one row for each row of ``df``."""
     rows = df.select(F.struct(F.col(id_col).alias("id"), F.col(label_col).alias("label")).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, letters long, main string, confidence double, also array<string>, segments array<struct<begin: int, until: int, lang: string, confidence: double>>"
@@ -251,6 +259,7 @@ def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text
 def wrong_or_further(found: DataFrame, id_col: str = "doc_id", least_letters: int = 40) -> DataFrame:
     """(id, role, lang): main languages that the label misses, and further languages."""
     told = label_language(F.col("label"))
-    cases = found.where((F.col("letters") >= least_letters) & F.col("main").isNotNull())
-    main = cases.where(told.isNull() | (told != F.col("main"))).select(id_col, F.lit("main").alias("role"), F.col("main").alias("lang"))
-    return main.unionByName(cases.select(id_col, F.lit("also").alias("role"), F.explode("also").alias("lang"))).distinct()
+    case = lambda role, lang: F.struct(F.lit(role).alias("role"), lang.alias("lang"))
+    main = F.when(told.isNull() | (told != F.col("main")), F.array(case("main", F.col("main")))).otherwise(F.array().cast("array<struct<role:string,lang:string>>"))
+    rows = found.where((F.col("letters") >= least_letters) & F.col("main").isNotNull())
+    return rows.select(id_col, F.inline(F.concat(main, F.transform("also", lambda x: case("also", x))))).distinct()
