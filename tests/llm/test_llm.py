@@ -119,7 +119,7 @@ def test_clusters(spark):
     rows += [("null", None, 1), ("zero", [0.0] * 64, 1), ("short", [1.0], 1), ("nan", [float("nan")] * 64, 1), (None, rows[0][1], 1), rows[0]]
     rows += [("far", [float(v) for v in rng.standard_normal(64)], 1)]
     df = spark.createDataFrame(rows, "id string, embeddings array<float>, cluster int")
-    for how in ({}, {"one_block": 8, "cell": 64, "row_block": 16}):  # the second ends with the distributed squaring
+    for how in ({}, {"one_block": 8, "node_block": 8, "cell": 64, "row_block": 16}):  # the second ends with the distributed squaring
         members, found = clusters.cluster(df, **how)
         got = {r["id"]: r["cluster"] for r in members.collect()}
         assert len({got[f"{c}-0"] for c in range(3)}) == 3 and len(got) == 180
