@@ -173,3 +173,14 @@ def test_personal_data(spark):
     assert got == {("phone", "+44 7700 900123"), ("name", "Deborah Hupefalo"), ("email", "ann@example.org"), ("address", "6 Brindlecote Lane")}
     out = {r["memory_id"]: r["content"] for r in personal.redacted(df, p).collect()}
     assert out["m0"].startswith("Mobile [PHONE]. Ask [NAME], or [EMAIL].") and out["x"] is None and out["y"] == ""
+
+
+def test_personal_data_learned_street_words_and_turned_names(spark):
+    rows = [(f"s{i}", f"Home address: {i + 1} Oldmoor Lane.", None) for i in range(12)] + [(f"c{i}", f"Home address: {i + 3} Oldmoor Cresta.", None) for i in range(6)]
+    rows += [(f"v{i}", f"We sold {i + 3} Large Boxes.", None) for i in range(9)] + [("t", "Hupefalo, Deborah wrote. MONDAY, Deborah left.", None), ("g", "x " * 40_000 + "Deborah Fesonda", None), (None, "Deborah Fesonda", None), ("e", " ", "")]
+    df = spark.createDataFrame(rows, "memory_id string, content string, user_id string")
+    p = personal.learn(df, spark.createDataFrame([("Debbie", "Deborah"), (None, None)], "short_name string, given_name string"))
+    got = {(r["memory_id"], r["kind"], r["found_value"]) for r in personal.found(df, p).collect()}
+    assert {("c0", "address", "3 Oldmoor Cresta"), ("s0", "address", "1 Oldmoor Lane"), ("t", "name", "Hupefalo, Deborah"), ("g", "name", "Deborah Fesonda")} <= got
+    assert not {m for m, *_ in got} & {"v0", "v1", None, "e"}
+    assert personal.found(df.limit(0), personal.learn(df.limit(0), df.limit(0).selectExpr("content short_name", "content given_name"))).count() == 0
