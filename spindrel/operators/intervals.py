@@ -23,7 +23,6 @@ import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 from spindrel.functions.runtime import cut
 
 OPEN = 2**63 - 1
+BROADCAST_ROWS = 200_000
 
 
 class IntervalMap:
@@ -88,20 +88,6 @@ def _partial(keys: int):
     return run
 
 
-def _slices(keys: int, cuts: dict[tuple, np.ndarray]):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.zeros(batch.num_rows, np.int32)
-            if cuts:
-                start = batch.column(keys).to_numpy()
-                for i, key in enumerate(zip(*(batch.column(j).to_pylist() for j in range(keys)), strict=True)):
-                    if key in cuts:
-                        at[i] = 1 + np.searchsorted(cuts[key], start[i], side="right")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keys], pa.array(at), *batch.columns[keys:]], names=[*batch.schema.names[:keys], "slice", "s", "e"])
-
-    return run
-
-
 def _merge(keys: int):
     """Pieces of each key and slice, with the end of the piece before; the input comes key by key."""
 
@@ -147,32 +133,26 @@ def _pieces(df: DataFrame, keys: list[str], start: str | Column, end: str | Colu
     rows = rows.select(*ks, F.unix_micros("s").alias("s"), F.when(far, F.lit(OPEN)).otherwise(F.unix_micros("e")).alias("e"))
     kind = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in ks)
     partial = cut(rows.mapInArrow(_partial(n), f"{kind}, s long, e long"), "intervals")
-    counts = partial.groupBy(*ks).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(hot, total // 2000)  # at most 2000 keys are that hot
-    heavy = {tuple(r[k] for k in ks): math.ceil(r["n"] / limit) for r in counts.filter(F.col("n") > limit).collect()}
-    cuts: dict[tuple, np.ndarray] = {}
-    if heavy:
-        wide = max(heavy.values())
+    heavy = cut(partial.groupBy(*ks).agg(F.count("*").alias("n")).where(F.col("n") > hot), "heavy")
+    number, most = heavy.agg(F.count("*"), F.max("n")).first()
+    small = (lambda t: F.broadcast(t)) if number <= BROADCAST_ROWS else (lambda t: t)
+    if number:
+        wide = math.ceil(most / hot)
         steps = [i / (2 * wide) for i in range(1, 2 * wide)]
-        where = None
-        for key in heavy:
-            this = None
-            for k, v in zip(ks, key, strict=True):
-                c = F.col(k) == F.lit(v)
-                this = c if this is None else this & c
-            where = this if where is None else where | this
-        marks = partial.filter(where).groupBy(*ks).agg(F.percentile_approx("s", steps, 10_000).alias("q"))
-        cuts = {tuple(r[k] for k in ks): np.unique(np.array(r["q"], np.int64)) for r in marks.collect()}
-    sliced = partial.mapInArrow(_slices(n, cuts), f"{kind}, slice int, s long, e long") if cuts else partial.select(*ks, F.lit(0).cast("int").alias("slice"), "s", "e")
+        marks = cut(partial.join(small(heavy.select(*ks)), ks).groupBy(*ks).agg(F.array_distinct(F.percentile_approx("s", steps, 10_000)).alias("q")), "marks")
+        place = F.size(F.filter("q", lambda x: x <= F.col("s"))) + 1
+        sliced = partial.join(small(marks), ks, "left").select(*ks, F.when(F.col("q").isNull(), 0).otherwise(place).cast("int").alias("slice"), "s", "e")
+    else:
+        sliced = partial.select(*ks, F.lit(0).cast("int").alias("slice"), "s", "e")
     own = sliced.repartition(*ks, "slice").sortWithinPartitions(*ks, "slice")
     pieces = own.mapInArrow(_merge(n), f"{kind}, slice int, s long, e long, prev long")
-    if cuts:
+    if number:
         pieces = cut(pieces, "pieces")
-        tops = pieces.where("slice > 0").groupBy(*ks, "slice").agg(F.max("e").alias("top"))  # some slices of at most 2000 keys
+        tops = pieces.where("slice > 0").groupBy(*ks, "slice").agg(F.max("e").alias("top"))
         before = Window.partitionBy(*ks).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        carry = tops.select(*ks, "slice", F.max("top").over(before).alias("carry"))
-        pieces = pieces.join(F.broadcast(carry), [*ks, "slice"], "left").select(*ks, "slice", "s", "e", F.greatest("prev", "carry").alias("prev"))
+        carry = cut(tops.select(*ks, "slice", F.max("top").over(before).alias("carry")), "carry")
+        carry = F.broadcast(carry) if carry.count() <= BROADCAST_ROWS else carry
+        pieces = pieces.join(carry, [*ks, "slice"], "left").select(*ks, "slice", "s", "e", F.greatest("prev", "carry").alias("prev"))
     return pieces, ks
 
 
