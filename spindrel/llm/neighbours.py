@@ -40,8 +40,8 @@ from spindrel.llm import blobs
 
 
 def record(dim: int) -> np.dtype:
-    """A row in a cell; a negative scale marks a query that isn't stored there."""
-    return np.dtype([("cell", "<u4"), ("id", "<i8"), ("scale", "<f4"), ("code", "i1", (dim,))])
+    """A row in a cell; a negative scale marks a query that isn't stored there. ``same`` is the hash of the whole vector."""
+    return np.dtype([("cell", "<u4"), ("id", "<i8"), ("same", "<u4"), ("scale", "<f2"), ("code", "i1", (dim,))])
 
 
 def unit_rows(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,8 +141,9 @@ def _scatter(hashing: Hashing, dim: int, parts: int, hot: dict[int, int], asked:
             asks = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)[at]
             if not len(x):
                 continue
-            scale = np.abs(x).max(axis=1) / 127
-            code = np.rint(x / scale[:, None]).astype(np.int8)
+            scale = (np.abs(x).max(axis=1) / 127).astype(np.float16).astype(np.float32)
+            code = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
+            same = vector_hash(x)
             for t in range(len(hashing.directions)):
                 cells = [hashing.home(x, t) ^ kind]
                 rows, stored = [np.arange(len(x))], [np.ones(len(x), bool)]
@@ -171,6 +172,7 @@ def _scatter(hashing: Hashing, dim: int, parts: int, hot: dict[int, int], asked:
                 out = np.empty(len(row), dtype)
                 out["cell"] = (cell >> np.uint64(32)).astype(np.uint32)
                 out["id"] = ids[row]
+                out["same"] = same[row]
                 out["scale"] = np.where(own, scale[row], -scale[row])
                 out["code"] = code[row]
                 got = blobs.pack((cell % np.uint64(parts)).astype(np.int32), out)
@@ -183,14 +185,23 @@ def _scatter(hashing: Hashing, dim: int, parts: int, hot: dict[int, int], asked:
 _PAIR = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("near", pa.float32())])
 
 
-def _first_copies(code: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Positions of rows so that each distinct code keeps its ``most`` first ids."""
-    with np.errstate(over="ignore"):
-        words = code.view(np.uint64) if code.shape[1] % 8 == 0 else code.astype(np.uint64)
-        h = np.zeros(len(code), np.uint64)
-        for j in range(words.shape[1]):
-            h = blobs.mix(h ^ words[:, j])
-    order = np.lexsort((ids, h))
+def vector_hash(x: np.ndarray) -> np.ndarray:
+    """32-bit hash of each row of floats."""
+    bits = np.ascontiguousarray(x, np.float32).view(np.uint32).astype(np.uint64)
+    h = np.zeros(len(x), np.uint64)
+    for j in range(bits.shape[1]):
+        h = blobs.mix(h ^ bits[:, j])
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _first_copies(rows: np.ndarray, most: int) -> np.ndarray:
+    """Positions of rows so that equal vectors keep their ``most`` first ids; vectors that only share a code are all kept."""
+    code = np.ascontiguousarray(rows["code"])
+    words = code.view(np.uint64) if code.shape[1] % 8 == 0 else code.astype(np.uint64)
+    h = rows["same"].astype(np.uint64)
+    for j in range(words.shape[1]):
+        h = blobs.mix(h ^ words[:, j])
+    order = np.lexsort((rows["id"], h))
     same = np.r_[False, h[order][1:] == h[order][:-1]]
     start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     return order[np.arange(len(order)) - start < most]
@@ -206,18 +217,18 @@ def _search(dim: int, keep: int, floor: float | None, asked: bool):
         home = rows[own]
         if not len(home):
             return
-        home = home[_first_copies(np.ascontiguousarray(home["code"]), home["id"], keep + 1)]
+        home = home[_first_copies(home, keep + 1)]
         ask = rows if asked else rows[~own]
         _, one = np.unique(ask["id"], return_index=True)
         ask = ask[one]
         codes, back = np.unique(np.ascontiguousarray(ask["code"]).view(f"V{dim}").ravel(), return_index=True, return_inverse=True)[1:]
-        right = (home["code"].astype(np.float32) * np.abs(home["scale"])[:, None]).T
+        right = (home["code"].astype(np.float32) * np.abs(home["scale"]).astype(np.float32)[:, None]).T
         step = max(16, 4_000_000 // len(home))
         order = np.argsort(back, kind="stable")
         bounds = np.searchsorted(back[order], np.arange(len(codes) + 1))
         for a in range(0, len(codes), step):
             lead = ask[codes[a : a + step]]
-            s = (lead["code"].astype(np.float32) * np.abs(lead["scale"])[:, None]) @ right
+            s = (lead["code"].astype(np.float32) * np.abs(lead["scale"]).astype(np.float32)[:, None]) @ right
             if floor is not None:
                 i, j = np.nonzero(s >= floor)
                 v = s[i, j]

@@ -59,6 +59,18 @@ def test_neighbours_of_some_rows_match_brute_force(spark):
         assert len(got & want) >= 0.99 * len(want) and {a for a, _ in got} <= {a for a, _ in want}
 
 
+def test_equal_vectors_are_capped_and_equal_codes_are_not():
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((1, 64)), 220, axis=0)
+    x[:200] += 1e-4 * rng.standard_normal((200, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = np.zeros(220, neighbours.record(64))
+    rows["id"], rows["same"] = np.arange(220), neighbours.vector_hash(x)
+    rows["code"] = np.rint(x / (np.abs(x).max() / 127))
+    kept = neighbours._first_copies(rows, 11)
+    assert set(range(200)) <= set(kept.tolist()) and len(kept) == 211
+
+
 def test_bpe_equals_merges_and_round_trip(spark):
     try:
         code = bpe.encoder(bpe.vocabulary("byte_bpe_50k"))
