@@ -7,10 +7,11 @@ for letters, glued words, order, titles, legal forms and remarks; given names
 go through the nickname table, which quoted nicknames in the data extend, and
 branch words through the words that many organisations share. Given names too
 rare to be known are compared as written: by beginning, or as slips of the pen
-if one of the two is seen with at most a tenth of the other's surnames.
+if one of the two is seen with at most two, or a quarter of the other's surnames.
 
 Forms with the same reading are one. Two forms are compared if they share a
-block: nature, companion and the phonetic code of the first or the last half of
+block of the phonetic codes of their sorted tokens: nature, codes of the companions
+(of given names the first sound) and the code of the first or the last half of
 the root (one slip of the pen leaves one of the halves alone). Roots are
 accepted by Jaro-Winkler similarity and few edits. Connected components of the accepted pairs are entities. A
 form whose given name leaves a choice (an initial, a cut name, a short name
@@ -95,8 +96,15 @@ def edits(a: str, b: str, most: int = 2) -> int:
 
 
 def phonetic(word: str) -> str:
-    """Sound classes of the letters, one vowel class, repeated classes once, without h."""
-    return re.sub(r"(.)\1+", r"\1", word.replace("h", "").translate(PHONETIC).translate(VOWELS))
+    """Sound classes of the letters, one vowel class, repeated classes once, without h; ph sounds as f."""
+    return re.sub(r"(.)\1+", r"\1", word.replace("ph", "f").replace("h", "").translate(PHONETIC).translate(VOWELS))
+
+
+def first_sounds(given: str) -> set[str]:
+    """First sound of a given name; all that it may have if only its first letter is known (``p*``, ``h*``)."""
+    if given in ("p*", "h*"):
+        return {"p", "f"} if given == "p*" else {"a"}
+    return {phonetic(given.rstrip("*"))[:1]} if given else set()
 
 
 def _plain(text: str) -> str:
@@ -333,7 +341,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for form, nature, root, companions, open_, breadth in zip(*(batch.column(c).to_pylist() for c in ("form", "nature", "root", "companions", "open", "breadth")), strict=True):
             code = phonetic(root)
             half = 4
-            heads = sorted({c[0] for c in companions.split("|") if c}) or [""] if nature == "person" else [companions]
+            heads = sorted({x for c in companions.split("|") for x in first_sounds(c)}) or [""] if nature == "person" else [" ".join(phonetic(w) for w in companions.split())]
             for part in {"<" + code[:half], ">" + code[-half:]}:
                 rows += [(f"{nature}/{h}/{part}", form, root, companions, open_, breadth) for h in heads]
         cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -358,24 +366,44 @@ def slip(a: str, b: str, n: int, m: int) -> bool:
     """Whether one of two rare given names, seen with ``n`` and ``m`` surnames, is a slip of the pen of the other."""
     short = min(len(a), len(b))
     most = 2 if short >= 8 else 1
-    return short >= 4 and min(n, m) <= max(1, 0.1 * max(n, m)) and edits(a, b, most) <= most
+    return short >= 4 and abs(len(a) - len(b)) <= most and min(n, m) <= max(2, 0.25 * max(n, m)) and edits(a, b, most) <= most
 
 
 def _pairs(least: float):
     """Accepted pairs of each block; the input comes block by block."""
 
+    def across(xs: list[tuple], ys: list[tuple], open_: bool) -> Iterator[tuple]:
+        for f, root in xs:
+            for g, other in ys:
+                if f != g and same_root(root, other, least):
+                    yield f, g, open_
+
     def compare(rows: list[tuple]) -> Iterator[tuple]:
-        for i, (f, root, comp, open_, n) in enumerate(rows):
-            for g, other, comp2, open2, m in rows[i + 1 :]:
-                if open_ and open2 or f == g:
-                    continue
-                if open_ != open2:
-                    if (fits(comp2, comp) if open2 else fits(comp, comp2)) and same_root(root, other, least):
-                        yield (g, f, True) if open2 else (f, g, True)
-                elif (comp == comp2 or n and m and slip(comp, comp2, n, m)) and same_root(root, other, least):
-                    yield f, g, False
-                elif comp != comp2 and (n and 2 <= len(comp) <= 3 and comp2.startswith(comp) or m and 2 <= len(comp2) <= 3 and comp.startswith(comp2)) and same_root(root, other, least):
-                    yield (f, g, True) if len(comp) < len(comp2) else (g, f, True)  # may be cut off
+        """Forms meet by their companions, so that what is compared one by one are forms with fitting ones."""
+        closed: dict[str, list[tuple]] = {}
+        rare: dict[str, int] = {}
+        for form, root, comp, open_, n in rows:
+            if not open_:
+                closed.setdefault(comp, []).append((form, root))
+                if n:
+                    rare[comp] = n
+        for same in closed.values():
+            for i, one in enumerate(same):
+                yield from across([one], same[i + 1 :], False)
+        unusual = sorted(rare)
+        for i, c in enumerate(unusual):
+            for d in unusual[i + 1 :]:
+                if slip(c, d, rare[c], rare[d]):
+                    yield from across(closed[c], closed[d], False)
+            if 2 <= len(c) <= 3:  # may be cut off
+                for d in closed:
+                    if d != c and d.startswith(c):
+                        yield from across(closed[c], closed[d], True)
+        for form, root, comp, open_, _ in rows:
+            if open_:
+                for d in closed:
+                    if fits(comp, d):
+                        yield from across([(form, root)], closed[d], True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows, out = None, [], []

@@ -196,3 +196,20 @@ def test_personal_data_learned_street_words_and_turned_names(spark):
     assert {("c0", "address", "3 Oldmoor Cresta"), ("s0", "address", "1 Oldmoor Lane"), ("t", "name", "Hupefalo, Deborah"), ("g", "name", "Deborah Fesonda")} <= got
     assert not {m for m, *_ in got} & {"v0", "v1", None, "e"}
     assert personal.found(df.limit(0), personal.learn(df.limit(0), df.limit(0).selectExpr("content short_name", "content given_name"))).count() == 0
+
+
+def test_entities_of_many_given_names(spark):
+    rng = random.Random(7)
+    part = lambda k: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(k))
+    given = sorted({part(3) + rng.choice("nlrs") for _ in range(900)})[:400]
+    rows, want = [], set()
+    for i in range(1500):
+        g, last = rng.choice(given), part(4) + rng.choice("nlrst")
+        rows.append((f"a{i:05d}", "person", f"{g.title()} {last.title()}"))
+        if i < 150:  # two letters swapped in the given name
+            k = rng.randrange(1, len(g) - 1)
+            rows.append((f"b{i:05d}", "person", f"{(g[:k] + g[k + 1] + g[k] + g[k + 2 :]).title()} {last.title()}"))
+            want.add((f"a{i:05d}", f"b{i:05d}"))
+    df = spark.createDataFrame(rows, "id string, type string, name string")
+    got = {tuple(r) for r in names.linked_pairs(names.entities(df, spark.createDataFrame([], "short_name string, given_name string"))).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
