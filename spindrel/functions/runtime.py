@@ -40,17 +40,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+def cut(df: DataFrame, name: str = "t", after: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends at the written table, so a lost executor costs a re-read
-    and not a recomputation. The table is removed when the process ends.
+    and not a recomputation. The table is removed when the process ends, or
+    once a table written with it as ``after`` takes its place.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrel-tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if after is not None and getattr(after, "_spindrel_path", None):
+        _remove(spark, after._spindrel_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spindrel_path = path
+    return out
 
 
 def partitions(spark: SparkSession, rows: int = 0, per_task: int = 200_000) -> int:

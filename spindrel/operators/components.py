@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # small star: u and its smaller neighbours are linked to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", after=cur)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         cur = after
         if tuple(mark) == before:

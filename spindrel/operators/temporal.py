@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Words of relations.
+EVENT_WORDS = "happened|occurred|started|ended|began|finished|created|deleted|changed"
+STATE_WORDS = "is|has|contains|includes|located|based|works|lives|manages"
+
+
 def valid_at(edges: DataFrame, at: Column) -> DataFrame:
     return edges.where((F.col("valid_from") <= at) & (F.col("valid_until").isNull() | (F.col("valid_until") > at)))
 
@@ -28,9 +33,9 @@ def metrics(edges: DataFrame, now: Column) -> DataFrame:
 
 
 def temporal_type(name: Column) -> Column:
-    """By words of the relation's name; underscores part words."""
+    """Event before state, else fact, by words of the relation's name; underscores part words."""
     words = F.lower(F.regexp_replace(name, "_", " "))
-    return F.when(words.rlike(r"\b(is|was|has|had|works at|lives in|located in|status|role|state)\b"), "state").when(words.rlike(r"\b(happened|occurred|created|started|ended|met|joined|left|event)\b"), "event").otherwise("fact")
+    return F.when(words.rlike(rf"\b({EVENT_WORDS})\b"), "event").when(words.rlike(rf"\b({STATE_WORDS})\b"), "state").otherwise("fact")
 
 
 def default_expiry(start: Column, kind: Column) -> Column:
@@ -45,16 +50,113 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     return rows.groupBy(key, "session").agg(F.min(ts).alias("begin"), F.max(ts).alias("until"), F.count("*").alias("n"))
 
 
-def has_sequence(events: DataFrame, key: str, ts: str, kind: str, pattern: list[str], max_gap_ms: int) -> DataFrame:
+def has_sequence(events: DataFrame, key: str, ts: str, kind: str, pattern: list[str], max_gap_ms: int, tie: str = "event_id") -> DataFrame:
     """Keys whose events hold the pattern as a subsequence: greedy first matches, failing at the first gap that is too long."""
-    order = F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col(ts).cast("timestamp")).alias("t"), F.col("event_id"), F.col(kind).alias("k"))))
-    want = F.array(*[F.lit(p) for p in pattern])
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("t"), F.lit(False).alias("bad"))
+    at = F.struct(F.unix_millis(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("e"))
+    rows = events.where(F.col(kind).isin(pattern) & F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.col(kind).alias("k"), at.alias("at"))
+    place = None
+    for i, wanted in enumerate(pattern):  # the first match of each place is a minimum of the key's events after the place before
+        own = rows.where(F.col("k") == wanted)
+        if place is None:
+            place = own.groupBy(key).agg(F.min("at").alias("at"))
+            continue
+        later = own.withColumnRenamed("at", "next").join(place, key).where(F.col("next") > F.col("at"))
+        place = later.groupBy(key, "at").agg(F.min("next").alias("next")).where(F.col("next.t") - F.col("at.t") <= max_gap_ms).select(key, F.col("next").alias("at"))
+    return place.select(key)
+
+
+#: Pairs of relations that exclude each other, and the class that each pair shares.
+EXCLUSIVE = [("married_to", "divorced_from"), ("works_at", "unemployed"), ("lives_at", "moved_from"), ("owns", "sold"), ("leads", "left_position")]
+
+
+def conflict_class(type_: Column) -> Column:
+    """Types of one class conflict: a type with itself, and with the one that excludes it."""
+    out = F.lower(type_)
+    for a, b in EXCLUSIVE:
+        out = F.when(F.lower(type_) == b, a).otherwise(out)
+    return out
+
+
+def superseded_by_change(edges: DataFrame, order: list[Column]) -> DataFrame:
+    """The other rule: an edge ends when the next one of its (source, target) that has another type begins."""
+    w = Window.partitionBy("source", "target").orderBy(*order)
+    run = F.sum(F.when(F.lag("type").over(w).eqNullSafe(F.col("type")), 0).otherwise(1)).over(w)
+    rows = edges.withColumn("_run", run)
+    starts = rows.groupBy("source", "target", "_run").agg(F.min("valid_from").alias("_begin"))
+    nxt = F.lead("_begin").over(Window.partitionBy("source", "target").orderBy("_run"))
+    starts = starts.select("source", "target", "_run", nxt.alias("_next"))
+    return rows.join(starts, ["source", "target", "_run"]).select(*[F.least("valid_until", "_next").alias("valid_until") if c == "valid_until" else F.col(c) for c in edges.columns])
+
+
+def at_node(edges: DataFrame, node: str, at: Column, mode: str = "valid") -> DataFrame:
+    """Edges at a node: ``all``, ``valid`` at a time, or ``invalidated`` by then."""
+    rows = edges.where((F.col("source") == node) | (F.col("target") == node))
+    if mode == "all":
+        return rows
+    return valid_at(rows, at) if mode == "valid" else rows.where(F.col("valid_until") <= at)
+
+
+def graph_state(edges: DataFrame, nodes: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Valid edges at a time, and the nodes at their ends."""
+    now = valid_at(edges, at)
+    ids = now.select(F.col("source").alias("id")).union(now.select(F.col("target").alias("id"))).distinct()
+    return now, nodes.join(ids, "id", "left_semi")
+
+
+def invalidate(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edges ended by (id, at, reason): the earlier end counts; ``reason`` is that of the change that ended the edge."""
+    c = changes.groupBy("id").agg(F.min(F.struct("at", "reason")).alias("c"))
+    rows = edges.join(c, "id", "left")
+    ends = F.col("c.at").isNotNull() & (F.col("valid_until").isNull() | (F.col("c.at") < F.col("valid_until")))
+    return rows.select(*[F.when(ends, F.col("c.at")).otherwise(F.col(x)).alias(x) if x == "valid_until" else F.col(x) for x in edges.columns], F.when(ends, F.col("c.reason")).alias("reason"))
+
+
+def update_period(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edges with the periods of (id, valid_from, valid_until, reason) where those aren't null."""
+    c = changes.select("id", F.struct("valid_from", "valid_until", "reason").alias("c"))
+    cols = [F.coalesce(F.col(f"c.{x}"), F.col(x)).alias(x) if x in ("valid_from", "valid_until") else F.col(x) for x in edges.columns]
+    return edges.join(c, "id", "left").select(*cols, F.col("c.reason").alias("reason"))
+
+
+def cleanup(edges: DataFrame, cutoff: Column, only_inactive: Column | None = None) -> DataFrame:
+    """Without edges that ended before ``cutoff`` (and are inactive)."""
+    old = F.coalesce(F.col("valid_until") < cutoff, F.lit(False))
+    return edges.where(~(old if only_inactive is None else old & ~F.coalesce(only_inactive, F.lit(False))))
+
+
+def track(relationships: DataFrame, graph: str) -> DataFrame:
+    """Relationships with their temporal type, and an end by default where they have none."""
+    kind = temporal_type(F.col("type"))
+    rows = relationships.withColumn("temporal_type", F.coalesce("temporal_type", kind) if "temporal_type" in relationships.columns else kind)
+    return rows.withColumn("graph", F.lit(graph)).withColumn("valid_until", F.coalesce("valid_until", default_expiry(F.col("valid_from"), F.col("temporal_type"))))
+
+
+def tracked(rows: DataFrame, *, at: Column | None = None, kinds: list[str] | None = None, graphs: list[str] | None = None, between: tuple[Column, Column] | None = None, now: Column | None = None) -> DataFrame:
+    """Tracked relationships by validity, type, graph, and strict overlap with a range; open ones end ``now``."""
+    rows = rows if at is None else valid_at(rows, at)
+    rows = rows.where(F.col("temporal_type").isin(kinds)) if kinds else rows
+    rows = rows.where(F.col("graph").isin(graphs)) if graphs else rows
+    if between is not None:
+        rows = rows.where((F.col("valid_from") < between[1]) & (F.coalesce(F.col("valid_until"), now if now is not None else F.current_timestamp()) > between[0]))
+    return rows
+
+
+def stats(edges: DataFrame, now: Column, kind: Column) -> DataFrame:
+    """(kind, active, invalidated, mean_age_s, ended_last_day) by ``kind``: those with an end by ``now`` are invalidated."""
+    over = F.coalesce(F.col("valid_until") <= now, F.lit(False))
+    age = F.unix_micros(now) / 1e6 - F.unix_micros(F.col("valid_from").cast("timestamp")) / 1e6
+    day = over & (F.col("valid_until") > now - F.expr("interval 24 hours"))
+    return edges.groupBy(kind.alias("kind")).agg(F.count_if(~over).alias("active"), F.count_if(over).alias("invalidated"), F.avg(age).alias("mean_age_s"), F.count_if(day).alias("ended_last_day"))
+
+
+def day(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def by_day(edges: DataFrame, ts: str = "valid_from") -> DataFrame:
+    """(day, type, n)."""
+    return edges.where(F.col(ts).isNotNull()).groupBy(day(F.col(ts)).alias("day"), "type").agg(F.count("*").alias("n"))
 
-    def step(s: Column, e: Column) -> Column:
-        hit = ~s["bad"] & (s["i"] < len(pattern)) & (e["k"] == F.get(want, s["i"]))
-        late = hit & (s["i"] > 0) & (e["t"] - s["t"] > max_gap_ms)
-        return F.struct(F.when(hit & ~late, s["i"] + 1).otherwise(s["i"]).alias("i"), F.when(hit, e["t"]).otherwise(s["t"]).alias("t"), (s["bad"] | F.coalesce(late, F.lit(False))).alias("bad"))
 
-    got = events.groupBy(key).agg(order.alias("es")).select(key, F.aggregate("es", start, step).alias("s"))
-    return got.where(~F.col("s.bad") & (F.col("s.i") == len(pattern))).select(key)
+def edge_key(source: Column, type_: Column, target: Column, at: Column) -> Column:
+    return F.concat_ws("_", F.lit("temp"), source, type_, target, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that are no keywords.
-STOP = "the a an and or but in on at to for of with by is are was were be been have has had do does did will would could should may might can".split()
+STOP = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "shall"]
 
 
 def tokens(text: Column) -> Column:
@@ -50,8 +50,8 @@ def token_frequency(posts: DataFrame, top: int) -> DataFrame:
 
 
 def keywords(text: Column, most: int = 10) -> Column:
-    """First distinct lower-case words of more than two letters that are no stop words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9_]+", " ")), " ")
+    """First distinct lower-case words between white space, of more than two characters, that are no stop words."""
+    words = F.split(F.lower(text), r"\s+")
     return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP))), 1, most)
 
 

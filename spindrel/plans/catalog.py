@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.functions.runtime import table
 from spindrel.operators import components, graph, intervals, similarity, temporal, texts, traversal, vectors
+from spindrel.plans.registry import QUERIES, SQL, Query, query
+from spindrel.plans.registry import rounded as _r
 from spindrel.sources import graphs
 from spindrel.streaming import events as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _r(c: str | Column, name: str | None = None) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.round(col, 6).alias(name or c)
-
-
 # -- intervals ------------------------------------------------------------------------------------
 
 _ISLANDS = """
@@ -183,10 +163,19 @@ def bfs_both_typed(spark: SparkSession, d: str) -> DataFrame:
     return traversal.bfs(graphs.star_nodes(spark, d), graphs.star_edges(spark, d, ("part_of", "located_in")), ["nation:5"], 3, "both").select("id", "depth")
 
 
-@query(f"""with recursive {_EDGES}, steps as (select source u, target v from edges where type in ('part_of', 'located_in') union select target, source from edges where type in ('part_of', 'located_in')),
-r(id, depth) as (select 'customer:3', 0 union select v, depth + 1 from r join steps on id = u where depth < 6) select min(depth)::int as distance from r where id = 'supplier:9' having count(*) > 0""")
+_PLACES = f"""with recursive {_EDGES}, steps as (select source u, target v from edges where type in ('part_of', 'located_in') union select target, source from edges where type in ('part_of', 'located_in')),"""
+
+
+@query(_PLACES + """ pairs(a, b) as (values ('nation:0', 'nation:5'), ('nation:0', 'nation:1'), ('region:0', 'region:0')),
+r(a, id, p) as (select a, a, [a] from pairs union select r.a, v, list_append(p, v) from r join steps on id = u where len(p) < 5 and not list_contains(p, v))
+select pairs.a, pairs.b, (len(p) - 1)::int as distance, array_to_string(p, '>') as path from pairs join r on r.a = pairs.a and r.id = pairs.b qualify row_number() over (partition by pairs.a, pairs.b order by len(p), array_to_string(p, '>')) = 1""")
 def shortest_path_bidir(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.shortest_path(graphs.star_edges(spark, d, ("part_of", "located_in")), "customer:3", "supplier:9", 6)
+    edges = graphs.star_edges(spark, d, ("part_of", "located_in"))
+    out = None
+    for a, b in (("nation:0", "nation:5"), ("nation:0", "nation:1"), ("region:0", "region:0")):
+        one = traversal.shortest_path(edges, a, b, 4).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "distance", "path")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"""with recursive {_EDGES}, steps as (select source u, target v from edges where type in ('part_of', 'located_in') union select target, source from edges where type in ('part_of', 'located_in')),
@@ -204,15 +193,16 @@ def motif_same_nation(spark: SparkSession, d: str) -> DataFrame:
     return graph.match_motif(nodes, edges, kinds, [("supplier", "nation", "located_in", "out"), ("nation", "customer", "located_in", "in")])
 
 
-@query(f"with {_EDGES} select x.source as a, x.target as b, y.target as c from edges x join edges y on x.target = y.source where x.type = 'placed' and y.type = 'contains'")
+@query("select 'customer:' || o_custkey as a, 'orders:' || o_orderkey as b, 'part:' || l_partkey as c from orders join lineitem on o_orderkey = l_orderkey")
 def motif_two_hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.two_hop(graphs.star_edges(spark, d, ("placed", "contains")), "placed", "contains")
 
 
-@query(f"with {_EDGES}, e as (select distinct source, target from edges where type = 'part_of') select a.target as parent, a.source as a, b.source as b from e a join e b on a.target = b.target and a.source < b.source")
+@query("""with e as (select distinct source, target from temporal_edges where lower(type) = 'part_of' and source <> 'node_system')
+select a.source as parent, a.target as a, b.target as b from e a join e b on a.source = b.source and a.target < b.target""")
 def siblings(spark: SparkSession, d: str) -> DataFrame:
-    turned = graphs.star_edges(spark, d, ("part_of",)).select(F.col("target").alias("source"), F.col("source").alias("target"), "type")
-    return graph.siblings(turned, ["part_of"])
+    edges = table(spark, d, "temporal_edges").where("source <> 'node_system'").withColumn("type", F.lower("type"))
+    return graph.siblings(edges, ["part_of"])
 
 
 @query("select floor(confidence * 10)::int as bucket, count(*) as n from text_chunks where confidence is not null group by 1")
@@ -227,7 +217,9 @@ def hierarchy_roots(spark: SparkSession, d: str) -> DataFrame:
     return graph.roots(members, table(spark, d, "temporal_edges"))
 
 
-@query()
+@query(f"""with recursive {_EDGES}, steps as (select source u, target v from edges where type in ('part_of', 'located_in') union select target, source from edges where type in ('part_of', 'located_in')),
+r(id, root) as (select u, u from steps where u like 'region:%' union select v, root from r join steps on id = u), k as (select id, min(root) root from r group by 1)
+select k.id as node, g.component from k join (select root, min(id) component from k group by 1) g using (root)""")
 def connected_groups(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_components(graphs.star_edges(spark, d, ("part_of", "located_in")), "source", "target")
 
@@ -261,7 +253,12 @@ def token_topk(spark: SparkSession, d: str) -> DataFrame:
     return texts.token_frequency(_posts(spark, d), 20)
 
 
-@query()
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in texts.STOP) + "]"
+
+
+@query(f"""with w as (select memory_id, word, min(i) i from (select memory_id, unnest(string_split_regex(lower(content), '\\s+')) word, generate_subscripts(string_split_regex(lower(content), '\\s+'), 1) i from (select distinct memory_id, content from memories where content is not null))
+where length(word) > 2 and not list_contains({_STOP_SQL}, word) group by 1, 2), k as (select *, row_number() over (partition by memory_id order by i) r from w)
+select m.memory_id, coalesce(string_agg(word, ' ' order by i), '') as words from (select distinct memory_id from memories where content is not null) m left join k on k.memory_id = m.memory_id and r <= 10 group by 1""")
 def keyword_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "memories").where("content is not null").select("memory_id", F.array_join(texts.keywords(F.col("content")), " ").alias("words")).distinct()
 
@@ -275,17 +272,32 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return texts.chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+def _conf(t: str) -> str:
+    c = f"(case when length({t}) < 50 then 0.5 else 1.0 end * case when length({t}) > 1000 then 0.7 else 1.0 end * case when regexp_matches({t}, '[.!?]$') then 1.1 else 1.0 end * case when length({t}) - length(regexp_replace({t}, '\\s', '', 'g')) > 0.3 * length({t}) then 0.8 else 1.0 end)::double"
+    return f"greatest(0.0, least(1.0, {c}))"
+
+
+def _tier(split: str, kind: str) -> str:
+    return f"""select doc, '{kind}' kind, i, t, {_conf('t')} c from (select doc_id doc, unnest(range(1, len(a) + 1)) i, trim(regexp_replace(unnest(a), '\\s+', ' ', 'g')) t from (select doc_id, string_split_regex(text, '{split}') a from d))
+  where length(t) between 50 and 1000 and {_conf('t')} >= 0.7"""
+
+
+_CHUNKS_SQL = f"""d as (select doc_id, text from documents where length(trim(text)) > 0), one as ({_tier('[.!?]+', 'sentence')}), two as (select * from ({_tier('[\\n]\\s*[\\n]', 'paragraph')}) where doc not in (select doc from one)),
+three as (select doc_id doc, 'document' kind, 1 i, text t, 1.0::double c from d where doc_id not in (select doc from one) and doc_id not in (select doc from two)),
+chunk as (select doc, (row_number() over (partition by doc order by i) - 1)::int pos, kind, t as text, c as confidence from (from one union all from two union all from three))"""
+
+
+@query(f"with {_CHUNKS_SQL} select doc, pos, kind, text, round(confidence, 6) as confidence from chunk")
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d)
+    return _chunks(spark, d).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query(f"with {_CHUNKS_SQL} select a.doc, a.pos as a, b.pos as b from chunk a join chunk b on a.doc = b.doc and b.pos = a.pos + 1")
 def sequential_relations(spark: SparkSession, d: str) -> DataFrame:
     return texts.sequential(_chunks(spark, d))
 
 
-@query()
+@query(f"with {_CHUNKS_SQL} select a.doc, a.pos as a, b.pos as b, round(greatest(0.1::double, 1 - abs(a.pos - b.pos) / 5.0::double), 6) as weight from chunk a join chunk b on a.doc = b.doc and abs(a.pos - b.pos) between 1 and 5")
 def cooccurrence_relations(spark: SparkSession, d: str) -> DataFrame:
     return texts.cooccurrence(_chunks(spark, d)).withColumn("weight", F.round("weight", 6))
 
@@ -328,19 +340,42 @@ def neighbour_similarity(spark: SparkSession, d: str) -> DataFrame:
 # -- names ----------------------------------------------------------------------------------------
 
 
-@query("select a.s_suppkey as a, b.s_suppkey as b, round(1 - levenshtein(a.s_name, b.s_name) / greatest(length(a.s_name), length(b.s_name)), 6) as score from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey")
+@query("""with n as (select distinct regexp_replace(lower(name), '[^ -~]', '?', 'g') nm from entity_records where name is not null and length(trim(name)) >= 4), k as (select nm, substr(nm, 1, 4) b from n)
+select x.nm as a, y.nm as b, round(1 - levenshtein(x.nm, y.nm)::double / greatest(length(x.nm), length(y.nm)), 6) as score from k x join k y on x.b = y.b and x.nm < y.nm and abs(length(x.nm) - length(y.nm)) <= 3
+where 1 - levenshtein(x.nm, y.nm)::double / greatest(length(x.nm), length(y.nm)) >= 0.8""")
 def levenshtein_sim(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier")
-    both = s.alias("a").join(s.alias("b"), (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
-    return both.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.round(similarity.levenshtein_similarity(F.col("a.s_name"), F.col("b.s_name")), 6).alias("score"))
+    """Close names among those with the same first four letters."""
+    both, s = _name_pairs(spark, d), similarity.levenshtein_similarity(F.col("a"), F.col("b"))
+    return both.where(s >= 0.8).select("a", "b", F.round(s, 6).alias("score"))
+
+
+def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
+    plain = F.regexp_replace(F.lower("name"), "[^ -~]", "?")  # DuckDB counts edits in bytes
+    n = table(spark, d, "entity_records").where("length(trim(name)) >= 4").select(plain.alias("n")).distinct()
+    k = lambda c: n.select(F.col("n").alias(c), F.substring("n", 1, 4).alias("block"))
+    return k("a").join(k("b"), "block").where("a < b and abs(length(a) - length(b)) <= 3").select("a", "b")
+
+
+_PAIRS_SQL = """n as (select distinct regexp_replace(lower(name), '[^ -~]', '?', 'g') nm from entity_records where name is not null and length(trim(name)) >= 4), k as (select nm, substr(nm, 1, 4) b from n),
+p as (select x.nm as a, y.nm as b from k x join k y on x.b = y.b and x.nm < y.nm and abs(length(x.nm) - length(y.nm)) <= 3)"""
+
+
+def _tokens_sql(c: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex({c}, '\\s+'), lambda t: t <> ''))"
+
+
+@query(f"with {_PAIRS_SQL}, j as (select a, b, len(list_intersect({_tokens_sql('a')}, {_tokens_sql('b')}))::double / len(list_distinct(list_concat({_tokens_sql('a')}, {_tokens_sql('b')}))) s from p) select a, b, round(s, 6) as score from j where s > 0.3")
+def jaccard_sim(spark: SparkSession, d: str) -> DataFrame:
+    s = similarity.jaccard(F.col("a"), F.col("b"))
+    return _name_pairs(spark, d).where(s > 0.3).select("a", "b", F.round(s, 6).alias("score"))
 
 
 @query()
 def name_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Jaro-Winkler, token overlap and sound of each alias and its name."""
-    a, b = F.col("short_name"), F.col("given_name")
+    """Jaro-Winkler, token overlap and sound of names that begin alike; only distinct pairs of like length are compared."""
+    a, b = F.col("a"), F.col("b")
+    rows = _name_pairs(spark, d).withColumn("jw", similarity.jaro_winkler(a, b)).where("jw >= 0.9")
     fuzzy = (similarity.levenshtein_similarity(a, b) + F.col("jw")) / 2
-    rows = table(spark, d, "name_aliases").withColumn("jw", similarity.jaro_winkler(a, b))
     sound = (similarity.sound_code(a) == similarity.sound_code(b)).cast("double")
     return rows.select(a, b, F.round("jw", 6).alias("jw"), F.round(similarity.composite(fuzzy, similarity.jaccard(a, b), sound, F.lit(0.0)), 6).alias("score"))
 
@@ -380,9 +415,11 @@ def session_sequences(spark: SparkSession, d: str) -> DataFrame:
     return temporal.sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes")
 
 
-@query()
+@query("""with f as (select user_id, min(ts) t0 from events where event_type = 'click' group by 1),
+g as (select f.user_id, t0, min(ts) t1 from f join events e on e.user_id = f.user_id and e.event_type = 'purchase' and e.ts > t0 group by 1, 2)
+select user_id from g where epoch_ms(t1) - epoch_ms(t0) <= 86400000""")
 def sequence_match(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.has_sequence(table(spark, d, "events"), "user_id", "ts", "event_type", ["click", "purchase"], 3_600_000)
+    return temporal.has_sequence(table(spark, d, "events"), "user_id", "ts", "event_type", ["click", "purchase"], 86_400_000)
 
 
 @query("select time_bucket(interval 1 hour, ts) as begin, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
@@ -411,8 +448,11 @@ def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from spindrel.plans import knowledge  # noqa: F401  registers its queries
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrel.functions.runtime import table
+from spindrel.functions.runtime import cut, table
 
 NODE = T.StructType([T.StructField("id", T.StringType()), T.StructField("type", T.StringType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType())])
 EDGE = T.StructType([T.StructField("id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("type", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType())])
@@ -152,21 +153,117 @@ class GraphStore:
             df.write.mode("overwrite").parquet(f"{self.config.directory}/snapshots/{name}/{kind}")
 
     def restore(self, name: str) -> None:
-        """Replace the current state by a snapshot."""
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        """Replace the current state by a snapshot: written aside first, then swapped in, so that a failure leaves one of both whole."""
+        jvm = self.spark.sparkContext._jvm
+        fs_path = jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.config.directory).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        aside = GraphStore(self.spark, StorageConfig(f"{self.config.directory}/restore-{uuid.uuid4().hex[:8]}", self.config.compression, self.config.retention_days))
         for kind in ("node", "edge"):
             rows = self.spark.read.parquet(f"{self.config.directory}/snapshots/{name}/{kind}")
+            (aside.store_nodes if kind == "node" else aside.store_edges)(rows)
+        for kind in ("node", "edge"):
             for old in (kind, f"{kind}_delete"):
-                p = fs_path(self._path(old))
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            (self.store_nodes if kind == "node" else self.store_edges)(rows)
+                fs.delete(fs_path(self._path(old)), True)
+            fs.rename(fs_path(aside._path(kind)), fs_path(self._path(kind)))
+        fs.delete(fs_path(aside.config.directory), True)
+
+    def snapshots(self) -> list[tuple[str, int]]:
+        """(name, written at, in milliseconds) of the snapshots."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.config.directory}/snapshots")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted((x.getPath().getName(), x.getModificationTime()) for x in fs.listStatus(path)) if fs.exists(path) else []
+
+    def drop_old_snapshots(self, now_ms: int) -> list[str]:
+        """Delete snapshots older than the days of retention; their names."""
+        old = [n for n, at in self.snapshots() if at < now_ms - self.config.retention_days * 86_400_000]
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for n in old:
+            p = path(f"{self.config.directory}/snapshots/{n}")
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        return old
+
+    def index(self, kind: str) -> DataFrame:
+        """(type, id, file): which file holds which versions of an item."""
+        schema = T.StructType([T.StructField("data", T.StructType([T.StructField("id", T.StringType()), T.StructField("type", T.StringType())]))])
+        return self.spark.read.schema(schema).json(self._path(kind)).where("data.id is not null").select("data.type", "data.id", F.col("_metadata.file_path").alias("file")).distinct()
+
+    def clear(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for kind in ("node", "edge", "node_delete", "edge_delete"):
+            p = path(self._path(kind))
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def sync(self, changes: DataFrame, kind: str, every: str = "30 seconds", checkpoint: str = ""):
+        """Write a stream of nodes or edges behind: one append for each trigger; a batch that is run again adds equal versions only."""
+        add = self.store_nodes if kind == "node" else self.store_edges
+        writer = changes.writeStream.foreachBatch(lambda df, _: add(df)).option("checkpointLocation", checkpoint or f"{self.config.directory}/sync-{kind}")
+        return writer.trigger(availableNow=True).start() if every == "now" else writer.trigger(processingTime=every).start()
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> tuple[DataFrame, bool]:
-    """Rows of a page, and whether more follow."""
-    rows = df.orderBy(*order).offset(offset).limit(limit + 1)
-    more = rows.count() > limit
-    return df.orderBy(*order).offset(offset).limit(limit), more
+    """Rows of a page, and whether more follow; sorted once, a page is small."""
+    rows = cut(df.orderBy(*order).offset(offset).limit(limit + 1), "page")
+    return rows.orderBy(*order).limit(limit), rows.count() > limit
+
+
+def by_id(df: DataFrame, ids: list[str]) -> DataFrame:
+    return df.where(F.col("id").isin(ids))
+
+
+def without_edges(edges: DataFrame, ids: list[str]) -> DataFrame:
+    return edges.where(~F.coalesce(F.col("id").isin(ids), F.lit(False)))
+
+
+def entity_of(nodes: DataFrame) -> DataFrame:
+    """(id, type, name, properties): nodes as entities; the name is that of the properties, or the id."""
+    return nodes.select("id", "type", F.coalesce(F.try_element_at("properties", F.lit("name")), F.col("id")).alias("name"), "properties")
+
+
+def history(log: DataFrame, last: int = 100) -> DataFrame:
+    """The last operations of a log (at, op, id), newest first."""
+    return log.orderBy(F.desc("at"), "id").limit(last)
+
+
+class TableStore:
+    """Named tables of several graphs (chunks, entities, relationships, links, embeddings): appended parquet, the latest version of each id counts.
+
+    A write adds files below ``graph_id=..``, so a read of some graphs touches only their folders.
+    """
+
+    def __init__(self, spark: SparkSession, directory: str):
+        self.spark, self.directory = spark, directory
+
+    def write(self, name: str, df: DataFrame, graph: Column, at: Column | None = None) -> None:
+        rows = df.withColumn("graph_id", graph).withColumn("_at", F.current_timestamp() if at is None else at)
+        rows.write.mode("append").partitionBy("graph_id").parquet(f"{self.directory}/{name}")
+
+    def read(self, name: str, *, graphs: list[str] | None = None, since: Column | None = None, key: str | None = "id", limit: int | None = None) -> DataFrame:
+        """Rows with ``graph_id``, the newest first if limited."""
+        rows = self.spark.read.option("basePath", f"{self.directory}/{name}").parquet(f"{self.directory}/{name}").withColumn("graph_id", F.col("graph_id").cast("string"))
+        rows = rows.where(F.col("graph_id").isin(graphs)) if graphs else rows
+        rows = rows.where(F.col("_at") >= since) if since is not None else rows
+        if key:
+            w = Window.partitionBy("graph_id", key).orderBy(F.desc("_at"))
+            rows = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        if limit is not None:
+            rows = rows.orderBy(F.desc("_at"), *([key] if key else [])).limit(limit)
+        return rows.drop("_at")
+
+    def exists(self, name: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def clear(self, name: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/{name}")
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def check_memories(spark: SparkSession, path: str) -> DataFrame:
+    """(valid, invalid): lines with a string ``content``, and the others."""
+    schema = "content string, _corrupt_record string"
+    rows = spark.read.text(path).where("length(trim(value)) > 0").select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"), F.try_parse_json("value").alias("v"))
+    good = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.content", "variant")) == "STRING", F.lit(False))
+    return rows.agg(F.count_if(good).alias("valid"), F.count_if(~good).alias("invalid"))
 
 
 def read_memories(spark: SparkSession, path: str) -> DataFrame:
