@@ -33,7 +33,7 @@ def active(seqs: DataFrame) -> DataFrame:
 
 def statistics(seqs: DataFrame) -> DataFrame:
     """(status, sequences, events, mean_length, mean_ms): by status, mean duration of those that have an end."""
-    ms = F.unix_millis(F.col("until").cast("timestamp")) - F.unix_millis(F.col("begin").cast("timestamp"))
+    ms = (F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("begin").cast("timestamp"))) / 1000
     return seqs.groupBy("status").agg(F.count("*").alias("sequences"), F.sum("events").alias("events"), F.round(F.avg("events"), 2).alias("mean_length"), F.round(F.avg(ms)).alias("mean_ms"))
 
 
@@ -43,7 +43,7 @@ def top_types(events: DataFrame, kind: str, top: int = 10) -> DataFrame:
 
 def durations(seqs: DataFrame) -> DataFrame:
     """(name, events, n, mean_ms) of completed sequences by name and length."""
-    ms = F.unix_millis(F.col("until").cast("timestamp")) - F.unix_millis(F.col("begin").cast("timestamp"))
+    ms = (F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("begin").cast("timestamp"))) / 1000
     return seqs.where("status = 'completed'").groupBy("name", "events").agg(F.count("*").alias("n"), F.avg(ms).alias("mean_ms"))
 
 
