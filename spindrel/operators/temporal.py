@@ -53,16 +53,16 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 def has_sequence(events: DataFrame, key: str, ts: str, kind: str, pattern: list[str], max_gap_ms: int, tie: str = "event_id") -> DataFrame:
     """Keys whose events hold the pattern as a subsequence: greedy first matches, failing at the first gap that is too long."""
     at = F.struct(F.unix_millis(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("e"))
-    rows = events.where(F.col(kind).isin(pattern) & F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.col(kind).alias("k"), at.alias("at"))
+    rows = events.where(F.col(kind).isin(pattern) & F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(kind).alias("_kind"), at.alias("_at"))
     place = None
-    for i, wanted in enumerate(pattern):  # the first match of each place is a minimum of the key's events after the place before
-        own = rows.where(F.col("k") == wanted)
+    for wanted in pattern:  # the first match of each place is a minimum of the key's events after the place before
+        own = rows.where(F.col("_kind") == wanted).select("_key", "_at")
         if place is None:
-            place = own.groupBy(key).agg(F.min("at").alias("at"))
+            place = own.groupBy("_key").agg(F.min("_at").alias("_at"))
             continue
-        later = own.withColumnRenamed("at", "next").join(place, key).where(F.col("next") > F.col("at"))
-        place = later.groupBy(key, "at").agg(F.min("next").alias("next")).where(F.col("next.t") - F.col("at.t") <= max_gap_ms).select(key, F.col("next").alias("at"))
-    return place.select(key)
+        later = own.withColumnRenamed("_at", "_next").join(place, "_key").where(F.col("_next") > F.col("_at"))
+        place = later.groupBy("_key", "_at").agg(F.min("_next").alias("_next")).where(F.col("_next.t") - F.col("_at.t") <= max_gap_ms).select("_key", F.col("_next").alias("_at"))
+    return place.select(F.col("_key").alias(key))
 
 
 #: Pairs of relations that exclude each other, and the class that each pair shares.

@@ -70,8 +70,10 @@ class Memory:
         found = cut(found.select("graph_id", "id", "type", "name", none.alias("properties"), "confidence", "ts", F.lit(None).cast("array<double>").alias("embedding")), "found")
         known = self.table("entities")
         fresh = found.drop("graph_id").dropDuplicates(["id"])
-        same = cut(resolution.resolve(fresh, known.drop("graph_id").dropDuplicates(["id"])).where("match is not null"), "same")
-        merged = same.count()
+        old = cut(known.drop("graph_id").dropDuplicates(["id"]), "known")
+        unknown = fresh.join(old.select("id"), "id", "left_anti")
+        same = cut(resolution.resolve(unknown, old).where("match is not null"), "same")
+        merged = same.count() + fresh.join(old.select("id"), "id", "left_semi").count()
         to = same.select("id", F.col("match"))
         entities = cut(found.join(to, "id", "left").withColumn("id", F.coalesce("match", "id")).drop("match").dropDuplicates(["graph_id", "id"]), "entities")
         rels = extraction.relationships(rows.select("id", "text")).join(about, "id").select("graph_id", F.col("relationship").alias("id"), "source", "target", "type", "confidence", "ts")
