@@ -25,6 +25,7 @@ number, name; other columns aren't read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -218,7 +219,7 @@ def _templates(users: DataFrame) -> dict[str, str]:
     return out
 
 
-def _observe(templates: dict[str, str]):
+def _observe(templates: dict[str, str], sure: set[str]):
     """Counts over a batch: templates and numbers by context, words, towns; pairs of capitalised words."""
     order = sorted(templates, key=lambda s: -len(s))
     finder = number_finder([templates[s] for s in order])
@@ -240,17 +241,20 @@ def _observe(templates: dict[str, str]):
                             n["num", "in" if any(m.start() <= h < m.end() for h in hit) else "out", before(text, m.start())] += 1
                     for m in POSTCODE_TOWN.finditer(text):
                         n["town", m[1], ""] += 1
-                    sure = [m.start() for m in ADDRESS.finditer(text)]
-                    for a in sure:
+                    homes = [m.start() for m in ADDRESS.finditer(text)]
+                    for a in homes:
                         n["street", "", before(text, a)] += 1
                     for m in MAYBE_STREET.finditer(text):
-                        if m.start() not in sure:
+                        if m.start() not in homes:
                             n["street", m[1], before(text, m.start())] += 1
                 seen = WORD.findall(text)
                 for w in {w for w in seen if w.islower()}:
                     n["low", w, ""] += 1
                 for w in {w.lower() for w in seen if w[0].isupper()}:
                     n["cap", w, ""] += 1
+                for a, b in itertools.pairwise(seen):
+                    if b.islower() and a in sure:
+                        n["named", b, ""] += 1
                 for a, b in MATCHES.findall(text):
                     n["pair", a, b] += 1
                 for m in INITIAL.finditer(text):
@@ -272,17 +276,18 @@ def learn(memories: DataFrame, aliases: DataFrame, *, text_col: str = "content",
     texts = memories.select(F.col(text_col).alias("text")).where("text is not null").distinct()
     users = memories.select(F.col(user_col).alias("u")).where("u is not null").distinct()
     templates = _templates(users)
-    seen = texts.mapInArrow(_observe(templates), "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    sure = _sure_names(users, aliases)
+    seen = texts.mapInArrow(_observe(templates, {r["w"] for r in sure.collect()}), "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
     seen = cut(seen, "observed")
 
     # kinds spread over the graph of templates and contexts; +1 is a phone, -1 an identity number
     links = cut(seen.where(F.col("what") == "ctx").select(F.col("a").alias("s"), F.col("b").alias("ctx"), F.log1p("n").alias("w")), "links")
-    sure = F.when(F.col("s").rlike(r"^[+(]"), 1.0).when(F.col("s").contains("A"), -1.0)
-    scores = links.select("s").distinct().select("s", F.coalesce(sure, F.lit(0.0)).alias("score"))
+    known = F.when(F.col("s").rlike(r"^[+(]"), 1.0).when(F.col("s").contains("A"), -1.0)
+    scores = links.select("s").distinct().select("s", F.coalesce(known, F.lit(0.0)).alias("score"))
     for _ in range(rounds):
         ctx = links.join(scores, "s").groupBy("ctx").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("c"))
         back = links.join(ctx, "ctx").groupBy("s").agg((F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("b"))
-        scores = cut(back.select("s", F.coalesce(sure, F.col("b")).alias("score")), "scores")
+        scores = cut(back.select("s", F.coalesce(known, F.col("b")).alias("score")), "scores")
     found = {r["s"]: r["score"] for r in scores.collect()}  # one row a template
     digits = lambda s: sum(c == "9" for c in s)
     guess = lambda s: "phone" if s[0] in "+(" or (digits(s) >= 10 and "A" not in s) else "id_number"
@@ -296,7 +301,7 @@ def learn(memories: DataFrame, aliases: DataFrame, *, text_col: str = "content",
 
     towns = {r["a"] for r in seen.where((F.col("what") == "town") & (F.col("n") >= 2)).collect()}
     streets = _streets(seen, rounds)
-    given, common = _given(seen, users, aliases)
+    given, common = _given(seen, sure)
     return Patterns({s: (templates[s], kinds[s]) for s in templates}, contexts, veto, given, common, towns, streets)
 
 
@@ -312,26 +317,31 @@ def _streets(seen: DataFrame, rounds: int) -> set[str]:
     return {r["w"] for r in scores.where(~seed & (F.col("score") >= 0.5) & (F.col("finds") >= 4)).collect()}
 
 
-def _given(seen: DataFrame, users: DataFrame, aliases: DataFrame) -> tuple[set[str], set[str]]:
+def _sure_names(users: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(w): given names of the table, and first words of at least two names that stand alone."""
+    first = users.where(F.col("u").rlike(r"^\p{Lu}\p{L}+ (\p{Lu}\. )?\p{Lu}[\p{L}'-]+$")).groupBy(F.lower(F.split("u", " ")[0]).alias("w")).agg(F.count("*").alias("n")).where("n >= 2").select("w")
+    table = aliases.select(F.explode(F.array("short_name", "given_name")).alias("w")).select(F.lower(F.trim("w")).alias("w")).where("length(w) > 0")
+    return cut(first.union(table).distinct(), "names")
+
+
+def _given(seen: DataFrame, sure: DataFrame) -> tuple[set[str], set[str]]:
     """Given names, and words that follow them without being surnames."""
     words = seen.where(F.col("what").isin("low", "cap")).groupBy(F.col("a").alias("w")).agg(F.sum(F.when(F.col("what") == "low", F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("what") == "cap", F.col("n")).otherwise(0)).alias("cap"))
     words = cut(words, "words")
     prose = (F.col("low") >= 3) & (F.col("low") >= 0.1 * F.col("cap"))
-    first = users.where(F.col("u").rlike(r"^\p{Lu}\p{L}+ (\p{Lu}\. )?\p{Lu}[\p{L}'-]+$")).groupBy(F.lower(F.split("u", " ")[0]).alias("w")).agg(F.count("*").alias("n")).where("n >= 2").select("w")
-    table = aliases.select(F.explode(F.array("short_name", "given_name")).alias("w")).select(F.lower(F.trim("w")).alias("w")).where("length(w) > 0")
     pairs = seen.where(F.col("what") == "pair").groupBy(F.lower("a").alias("g"), F.lower("b").alias("b")).agg(F.sum("n").alias("n"))
     follow = pairs.join(words.where(~prose).select(F.col("w").alias("b")), "b").groupBy("g").agg(F.count("*").alias("names"))
     wide = pairs.groupBy("g").agg(F.count("*").alias("d"), F.sum("n").alias("n")).where("d >= 5 and d > 0.4 * n and length(g) >= 3")
     wide = wide.join(follow, "g").join(words.select(F.col("w").alias("g"), "cap"), "g").where("names >= 0.8 * d and n >= 0.3 * cap").join(words.where(prose).select(F.col("w").alias("g")), "g", "left_anti").select(F.col("g").alias("w"))
     never = [*NOT_PERSON, *(t.lower() for t in TITLES.split("|"))]
-    names = first.union(table).union(wide).distinct().where((F.length("w") >= 2) & ~F.col("w").isin(never))
+    names = sure.union(wide).distinct().where((F.length("w") >= 2) & ~F.col("w").isin(never))
     mostly_low = words.where((F.col("low") > 10) & (F.col("low") > 10 * F.col("cap"))).select("w")
     names = cut(names.join(mostly_low, "w", "left_anti"), "given")
     turned = seen.where(F.col("what") == "turn").select(F.lower("a").alias("g"), F.lower("b").alias("b"), "n")
     after = pairs.select("g", "b", "n").union(turned).join(names.select(F.col("w").alias("g")), "g").select(F.col("b").alias("w"), "n")
     after = after.union(seen.where(F.col("what") == "named").select("a", "n")).groupBy("w").agg(F.sum("n").alias("after"))
-    judged = words.join(after, "w", "left").join(names, "w", "left_anti").select("w", prose.alias("prose"), "cap", F.coalesce("after", F.lit(0)).alias("after"))
-    other = F.col("prose") | (F.col("cap") >= 5) & (F.col("after") < 0.3 * F.col("cap")) & (F.col("after") > 0)
+    judged = words.join(after, "w", "left").join(names, "w", "left_anti").select("w", prose.alias("prose"), "low", "cap", F.coalesce("after", F.lit(0)).alias("after"))
+    other = F.col("prose") & (F.col("after") < 0.3 * (F.col("low") + F.col("cap"))) | (F.col("cap") >= 5) & (F.col("after") < 0.3 * F.col("cap")) & (F.col("after") > 0)
     return {r["w"] for r in names.collect()}, {r["w"] for r in judged.where(other).select("w").collect()}  # words of a vocabulary, each once
 
 
