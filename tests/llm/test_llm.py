@@ -213,3 +213,64 @@ def test_entities_of_many_given_names(spark):
     df = spark.createDataFrame(rows, "id string, type string, name string")
     got = {tuple(r) for r in names.linked_pairs(names.entities(df, spark.createDataFrame([], "short_name string, given_name string"))).collect()}
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_mix_reaches_shares_within_caps(spark):
+    try:
+        bpe.vocabulary("byte_bpe_50k")
+        bpe.encoder(bpe.vocabulary("byte_bpe_50k"))
+    except OSError:
+        pytest.skip("no vocabulary")
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(5, 60))), "a" if i < 200 else "b" if i < 260 else "c", 1) for i in range(300)]
+    rows += [(900, None, "a", 1), (901, "", "b", 1), (902, "x y", None, 1), (903, "x y", "unwanted", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repeats int")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 3), ("c", 0.2, 1), ("zero", 0.0, 2), ("gone", 0.0, None)], "source string, target_weight double, max_repeats int")
+    mixed, report = mixing.mix(docs, targets)
+    got = {r["doc_id"]: r["repeats"] for r in mixed.collect()}
+    shares = {r["source"]: r for r in report.collect()}
+    assert not {900, 901, 902, 903} & set(got) and max(got[i] for i in got if 200 <= i < 260) <= 3 and max(got[i] for i in got if i < 200) == 1
+    for s in ("a", "b", "c"):
+        planned = shares[s]["epochs"] * shares[s]["available_tokens"]
+        assert abs(shares[s]["mixed_tokens"] - planned) <= 130 and shares[s]["epochs"] <= shares[s]["max_repeats"] + 1e-9
+    assert {r["doc_id"]: r["repeats"] for r in mixing.mix(docs, targets)[0].collect()} == got
+    assert mixing.mix(docs.limit(0), targets)[0].count() == 0
+
+
+def test_near_copies_in_a_hot_bucket_and_groups(spark):
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(40)]
+    rows = []
+    for i in range(60):  # all near-copies of one another, all different
+        w = base[:]
+        w[i % 40] = f"own{i}"
+        rows.append((f"h{i:02d}", " ".join(w), 1))
+    rows += [(f"c{i}", rows[0][1], 1) for i in range(3)] + [(f"o{i}", " ".join(rng.choice(WORDS) for _ in range(30)), 1) for i in range(40)] + [(None, rows[0][1], 1), ("e", None, 1)]
+    df = spark.createDataFrame(rows, TEXTS)
+    got = {(r["id_a"], r["id_b"]) for r in nearcopies.near_copy_pairs(df, hot=16).collect()}
+    ids = [r[0] for r in rows[:63]]
+    assert got == {(min(a, b), max(a, b)) for a in ids for b in ids if a != b}
+    groups = {r["id"]: r for r in nearcopies.near_copy_groups(df, hot=16).collect()}
+    assert set(groups) == set(ids) and all(r["group_size"] == 63 and r["group_id"] == "c0" and r["links"] == 59 for r in groups.values())
+    assert nearcopies.near_copy_groups(df.limit(0)).count() == 0
+
+
+def test_entities_in_crowded_blocks(spark):
+    rows = [(f"{i:03d}", "person", f"Deborah Lifat{'aeiou'[i % 5]}s{'aeiou'[i // 5 % 5]}n") for i in range(25)] + [(f"x{i}", "person", f"Debora Lifat{'aeiou'[i % 5]}san") for i in range(5)]
+    df = spark.createDataFrame(rows, "id string, type string, name string")
+    alias = spark.createDataFrame([("Debbie", "Deborah")], "short_name string, given_name string")
+    one, many = ({tuple(r) for r in names.linked_pairs(names.entities(df, alias, hot=hot)).collect()} for hot in (2000, 4))
+    assert one == many and len(one) > 0
+
+
+def test_language_segments_and_short_sentences(spark):
+    rng = random.Random(6)
+    own = {"de": [f"de{a}{b}z" for a in "aeiou" for b in "krst"], "en": [f"wy{a}{b}f" for a in "aeiou" for b in "lmnp"]}
+    say = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n)).capitalize() + "."
+    rows = [(i, say(lang, 12), lang) for i, lang in enumerate(["de", "en"] * 60)] + [(500, say("de", 14) + " " + say("en", 12) + " " + say("de", 12), "en"), (501, say("de", 14) + " " + say("en", 2), None), (502, None, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("label", F.lit("clash"))
+    found = language.identify(df, language.fit(df))
+    seg = {r["doc_id"]: [(s["lang"], s["begin"], s["until"]) for s in r["segments"]] for r in found.where("doc_id >= 500").collect()}
+    assert [s[0] for s in seg[500]] == ["de", "en", "de"] and seg[500][0][1] == 0 and seg[500][-1][2] == len(rows[120][1]) and seg[502] == []
+    cases = {tuple(r) for r in language.wrong_or_further(found).where("doc_id >= 500").collect()}
+    assert {(500, "main", "de"), (500, "also", "en"), (501, "main", "de"), (501, "also", "en")} == cases
