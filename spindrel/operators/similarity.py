@@ -43,18 +43,17 @@ def jaro(a: str, b: str) -> float:
     return (len(mine) / len(a) + len(mine) / len(b) + (len(mine) - t) / len(mine)) / 3
 
 
-@F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The prefix bonus always counts; null for nulls."""
+def winkler(a: str, b: str) -> float:
+    """Jaro similarity with the bonus of 0.1 for each of up to four common first letters, which always counts."""
+    s = jaro(a, b)
+    p = next((i for i in range(min(4, len(a), len(b))) if a[i] != b[i]), min(4, len(a), len(b)))
+    return s + 0.1 * p * (1 - s)
 
-    def one(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        s = jaro(x, y)
-        p = next((i for i in range(min(4, len(x), len(y))) if x[i] != y[i]), min(4, len(x), len(y)))
-        return s + 0.1 * p * (1 - s)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+@F.pandas_udf(DoubleType())
+def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Null for nulls. Python code for each pair: call it on distinct pairs that a block and their lengths have left."""
+    return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def sound_code(a: Column) -> Column:

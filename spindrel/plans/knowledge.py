@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrel.functions import providers
 from spindrel.functions.runtime import table
 from spindrel.operators import extraction, fusion, graph, groups, hierarchy, linking, patterns, ranking, resolution, retention, sequences, similarity, temporal, texts, traversal, vectors
 from spindrel.plans.catalog import _EDGES, _WANTED
@@ -682,3 +683,34 @@ def word_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query("""select distinct name, trim(regexp_replace(regexp_replace(lower(name), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) as normal from entity_records where name is not null""")
 def normal_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entity_records").where("name is not null").select("name", similarity.normal_name(F.col("name")).alias("normal")).distinct()
+
+
+# -- providers and logs ---------------------------------------------------------------------------
+
+
+def _letters(batch):
+    """Stands in for a model: length and number of e's of each text."""
+    return [[float(len(t)), float(t.count("e"))] for t in batch]
+
+
+@query("select memory_id as id, case when length(trim(content)) > 0 then length(content)::double end as a, case when length(trim(content)) > 0 then (length(content) - length(replace(content, 'e', '')))::double end as b from memories")
+def provider_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    rows = providers.embed(table(spark, d, "memories").select(F.col("memory_id").alias("id"), "content"), "content", _letters, 2)
+    return rows.select("id", F.get("embedding", F.lit(0)).alias("a"), F.get("embedding", F.lit(1)).alias("b"))
+
+
+@query("""with m as (select distinct unnest(members) as id from memory_clusters), n as (select id, any_value(type) as t, count(*) c from graph_nodes group by 1)
+select coalesce(n.id, m.id) as id, case when m.id is not null then 'clustered' else 'single' end as state from n full join m using (id) where m.id is null or right(m.id, 1) >= '8'""")
+def replayed_log(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes after a log that puts all members of stored clusters and then deletes those whose id ends below 8."""
+    nodes = table(spark, d, "graph_nodes").select("id", F.lit("single").alias("type")).distinct()
+    m = table(spark, d, "memory_clusters").select(F.explode("members").alias("id")).where("id is not null").distinct()
+    log = m.select(F.lit(1).alias("at"), F.lit("put").alias("op"), "id", F.lit("clustered").alias("type"))
+    log = log.union(m.where(F.right("id", F.lit(1)) < "8").select(F.lit(2), F.lit("delete"), "id", F.lit(None).cast("string")))
+    return graphs.replay_log(nodes, log).select("id", F.col("type").alias("state"))
+
+
+@query("select id, k || '=' || properties[k] as entry from (select distinct id, properties, unnest(map_keys(properties)) k from graph_nodes)")
+def property_pairs(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "graph_nodes").select("id", F.explode(F.map_entries("properties")).alias("e"))
+    return e.select("id", F.concat_ws("=", "e.key", "e.value").alias("entry")).distinct()

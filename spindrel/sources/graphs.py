@@ -219,6 +219,13 @@ def entity_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "type", F.coalesce(F.try_element_at("properties", F.lit("name")), F.col("id")).alias("name"), "properties")
 
 
+def replay_log(nodes: DataFrame, log: DataFrame) -> DataFrame:
+    """Nodes after a log of changes (at, op, id, type): the last one of each id counts, ``delete`` or ``put``."""
+    last = log.where("id is not null").groupBy("id").agg(F.max(F.struct("at", "op", F.col("type").alias("new"))).alias("c"))
+    rows = nodes.join(last, "id", "full").where("c is null or c.op <> 'delete'")
+    return rows.select(*[F.coalesce("c.new", "type").alias("type") if x == "type" else F.col(x) for x in nodes.columns])
+
+
 def history(log: DataFrame, last: int = 100) -> DataFrame:
     """The last operations of a log (at, op, id), newest first."""
     return log.orderBy(F.desc("at"), "id").limit(last)

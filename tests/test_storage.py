@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,32 @@ def test_windows_of_streams_equal_batches(spark, tmp_path):
     q.awaitTermination()
     want = {tuple(r) for r in windowed_counts(batch, "ts", "30 minutes").collect() if r["begin"].day == 1}
     assert {tuple(r) for r in got} == want and len(want) == 2
+
+
+def test_stream_of_sequences_equals_the_batch(spark, tmp_path):
+    from spindrel.operators import temporal
+    from spindrel.streaming.sequences import stream_sequences
+
+    rows = [(i, k, s, e) for i, (k, s, e) in enumerate([("a", 0, "click"), ("b", 0, "click"), ("c", 0, "click"), ("a", 50, "purchase"), ("b", 90, "purchase"), ("c", 50, "click"), ("c", 100, "purchase"), ("a", 120, "click"), (None, 0, "click"), ("d", 5, "purchase"), ("d", 7, "click"), ("d", 9, "purchase")])]
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"event_id": n, "k": k, "s": s, "kind": e}) for n, k, s, e in rows[4 * i : 4 * i + 4]))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    ts = lambda df: df.select("event_id", "k", F.timestamp_seconds("s").alias("ts"), "kind")
+    stream = ts(spark.readStream.schema("event_id int, k string, s long, kind string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
+    got = []
+    q = stream_sequences(stream, "k", "ts", "kind", ["click", "purchase"], 60_000).writeStream.outputMode("append").foreachBatch(lambda df, _: got.extend(r["k"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = ts(spark.createDataFrame(rows, "event_id int, k string, s long, kind string"))
+    assert sorted(got) == sorted(r["k"] for r in temporal.has_sequence(batch, "k", "ts", "kind", ["click", "purchase"], 60_000).collect()) == ["a", "d"]
+
+
+def test_providers(spark):
+    from spindrel.functions import providers
+
+    df = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", None), ("4", "bad"), ("5", " ")], "id string, t string").withColumn("_v0", F.lit(1))
+    got = {r["id"]: (r["embedding"], r["embedding_ok"]) for r in providers.embed(df, "t", lambda ts: [[1.0]] * len(ts) if "bad" not in ts else 1 / 0, 1, batch=1).collect()}
+    assert got == {"1": ([1.0], True), "2": ([1.0], True), "3": (None, None), "4": ([0.0], False), "5": (None, None)}
+    images = spark.createDataFrame([("a", b"1"), ("b", b"1"), ("c", None)], "id string, data binary")
+    assert {(r["id"], r["description"], r["ok"]) for r in providers.describe(images, "id", "data", lambda xs: ["seen"] * len(xs)).collect()} == {("a", "seen", True), ("b", "seen", True)}
+    assert providers.describe(images, "id", "data", lambda xs: 1 / 0).where("not ok").count() == 2
