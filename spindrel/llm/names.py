@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from spindrel.functions.runtime import cut, partitions
 from spindrel.operators.components import connected_components
+from spindrel.operators.similarity import winkler
 
 #: Spellings of types, placeholders, titles, remarks, legal forms and project words.
 TYPES = {"person": "person", "people": "person", "individual": "person", "human": "person", "per": "person"}
@@ -50,33 +51,6 @@ PHONETIC = str.maketrans("bpfvwckqgszxdtyj", "ppfffkkkksssttii")
 VOWELS = str.maketrans("eiouy", "aaaaa")
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """Jaro similarity with the bonus of 0.1 for each of up to four common first letters."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used = [False] * len(b)
-    mine = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                mine.append(c)
-                break
-    if not mine:
-        return 0.0
-    other = [b[j] for j in range(len(b)) if used[j]]
-    t = sum(x != y for x, y in zip(mine, other, strict=True)) / 2
-    m = len(mine)
-    jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
-    p = 0
-    while p < min(4, len(a), len(b)) and a[p] == b[p]:
-        p += 1
-    return jaro + 0.1 * p * (1 - jaro)
-
-
 def edits(a: str, b: str, most: int = 2) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours; ``most + 1`` if more."""
     if abs(len(a) - len(b)) > most:
@@ -354,7 +328,7 @@ def same_root(a: str, b: str, least: float) -> bool:
         return True
     n = min(len(a), len(b))
     most = 2 if n >= 8 else 1 if n >= 5 else 0
-    return abs(len(a) - len(b)) <= most and jaro_winkler(a, b) >= least and edits(a, b, most) <= most
+    return abs(len(a) - len(b)) <= most and winkler(a, b) >= least and edits(a, b, most) <= most
 
 
 def fits(choice: str, given: str) -> bool:
