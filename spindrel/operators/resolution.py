@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrel.functions.runtime import partitions
 from spindrel.operators import similarity, vectors
 
 #: Properties that identify an entity, in this order.
@@ -36,34 +37,46 @@ def exact(new: DataFrame, known: DataFrame, *, typed: bool = True) -> DataFrame:
     return hits.groupBy("id").agg(F.min(F.struct("rank", "match")).alias("m")).select("id", "m.match")
 
 
-def pair_score(a: str, b: str) -> Column:
-    """Composite of edits, Jaro-Winkler, words, sound and vectors of the entities ``a`` and ``b``."""
-    x, y = F.lower(f"{a}.name"), F.lower(f"{b}.name")
-    fuzzy = (similarity.levenshtein_similarity(x, y) + similarity.jaro_winkler(x, y)) / 2
-    sound = (similarity.sound_code(x) == similarity.sound_code(y)).cast("double")
-    vector = F.coalesce(vectors.cosine(F.col(f"{a}.embedding"), F.col(f"{b}.embedding")), F.lit(0.0))
-    return similarity.composite(fuzzy, similarity.jaccard(x, y), sound, vector)
+def _pair_score(jw: Column) -> Column:
+    """Composite of edits, Jaro-Winkler, words, sound and vectors of the pair ``a``, ``b``."""
+    fuzzy = (similarity.levenshtein_similarity(F.col("a.n"), F.col("b.n")) + jw) / 2
+    either = F.size(F.array_union("a.ws", "b.ws"))
+    words = F.when(either == 0, 0.0).otherwise(F.size(F.array_intersect("a.ws", "b.ws")) / either)
+    sound = (F.col("a.sound") == F.col("b.sound")).cast("double")
+    vector = F.coalesce(vectors.cosine(F.col("a.embedding"), F.col("b.embedding")), F.lit(0.0))
+    return similarity.composite(fuzzy, words, sound, vector)
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    """(r, block): type and first three letters of each word of the normal name."""
+def _blocks(df: DataFrame, name: str) -> DataFrame:
+    """(name, block): what is compared of each entity, for its type and the first three letters of each word of its normal name."""
     ws = F.array_distinct(F.transform(F.split(similarity.normal_name(F.col("name")), " "), lambda w: F.substring(w, 1, 3)))
     rows = df.where("length(trim(name)) > 0 and id is not null").dropDuplicates(["id"])
-    return rows.select(F.struct("id", "type", "name", "embedding").alias("r"), F.explode(F.transform(ws, lambda w: F.concat_ws("/", F.lower("type"), w))).alias("block"))
+    n = F.lower("name")
+    own = F.struct("id", n.alias("n"), similarity.sound_code(n).alias("sound"), F.array_distinct(F.filter(F.split(n, r"\s+"), lambda t: t != "")).alias("ws"), "embedding")
+    return rows.select(own.alias(name), F.explode(F.transform(ws, lambda w: F.concat_ws("/", F.lower("type"), w))).alias("block"))
 
 
-def candidates(new: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, match, score) of all pairs that share a block and whose lengths allow the score; each pair once, not itself."""
-    pairs = _blocks(new).withColumnRenamed("r", "a").join(_blocks(known).withColumnRenamed("r", "b"), "block")
-    pairs = pairs.where("a.id <> b.id and abs(length(a.name) - length(b.name)) <= 0.5 * greatest(length(a.name), length(b.name))").select("a", "b").dropDuplicates(["a", "b"])
-    return pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("match"), pair_score("a", "b").alias("score"))
+def candidates(new: DataFrame, known: DataFrame, least: float = 0.0) -> DataFrame:
+    """(id, match, score) of the pairs that share a block and score at least ``least``; each pair once, not itself.
+
+    Jaro-Winkler runs in Python and is at most 1, so it is only taken for
+    pairs that could reach ``least`` with it; the bound is computed in the JVM, edits first.
+    """
+    parts = partitions(new.sparkSession)
+    pairs = _blocks(new, "a").repartition(parts, "block").join(_blocks(known, "b"), "block").where("a.id <> b.id and abs(length(a.n) - length(b.n)) <= 0.5 * greatest(length(a.n), length(b.n))")
+    vector = F.when(F.col("a.embedding").isNotNull() & F.col("b.embedding").isNotNull(), 0.3).otherwise(0.0)
+    edits = (0.6 * least - 0.24 - vector) / 0.15 - 1  # what edits must reach if all else is at its best
+    near = pairs.where(similarity.levenshtein_similarity(F.col("a.n"), F.col("b.n")) >= edits).where(_pair_score(F.lit(1.0)) >= least)
+    near = near.select("a", "b", F.col("a.id").alias("id"), F.col("b.id").alias("match")).dropDuplicates(["id", "match"])
+    scored = near.withColumn("jw", similarity.jaro_winkler(F.col("a.n"), F.col("b.n")))
+    return scored.select("id", "match", _pair_score(F.col("jw")).alias("score")).where(F.col("score") >= least)
 
 
 def resolve(new: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(id, match, score, how): exact matches with score 1, else the best candidate above ``threshold``, else null."""
     sure = exact(new, known).select("id", "match", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
     rest = new.join(sure, "id", "left_anti")
-    best = candidates(rest, known).where(F.col("score") > threshold).groupBy("id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "match")).alias("m"))
+    best = candidates(rest, known, threshold).where(F.col("score") > threshold).groupBy("id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "match")).alias("m"))
     near = best.select("id", "m.match", (-F.col("m.s")).alias("score"), F.lit("similar").alias("how"))
     got = sure.unionByName(near)
     return new.select("id").distinct().join(got, "id", "left")
@@ -82,7 +95,7 @@ def resolve_in_graph(new: DataFrame, nodes: DataFrame, order: str, threshold: fl
     index = name_index(nodes, order).withColumnRenamed("id", "match")
     named = ids.join(same, "id", "left_anti").join(index, ["type", "name"]).select("id", "match", F.lit(0.9).alias("score"))
     done = same.unionByName(named)
-    near = candidates(new.join(done, "id", "left_anti"), nodes).where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("m"))
+    near = candidates(new.join(done, "id", "left_anti"), nodes, threshold).where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("m"))
     return done.unionByName(near.select("id", "m.match", (-F.col("m.s")).alias("score")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.functions.runtime import table
+from spindrel.functions.runtime import partitions, table
 from spindrel.operators import components, graph, intervals, similarity, temporal, texts, traversal, vectors
 from spindrel.plans.registry import QUERIES, SQL, Query, query
 from spindrel.plans.registry import rounded as _r
@@ -150,7 +150,7 @@ select id, min(depth)::int as depth from r group by id"""
 
 @query(_reach("customer:7", 3, "select source u, target v from edges"))
 def bfs_out(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.bfs(graphs.star_nodes(spark, d), graphs.star_edges(spark, d), ["customer:7"], 3).select("id", "depth")
+    return traversal.bfs(graphs.star_nodes(spark, d), graphs.star_edges(spark, d, once=False), ["customer:7"], 3).select("id", "depth")
 
 
 @query(_reach("region:1", 2, "select target u, source v from edges where type in ('part_of', 'located_in')"))
@@ -353,7 +353,7 @@ def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
     plain = F.regexp_replace(F.lower("name"), "[^ -~]", "?")  # DuckDB counts edits in bytes
     n = table(spark, d, "entity_records").where("length(trim(name)) >= 4").select(plain.alias("n")).distinct()
     k = lambda c: n.select(F.col("n").alias(c), F.substring("n", 1, 4).alias("block"))
-    return k("a").join(k("b"), "block").where("a < b and abs(length(a) - length(b)) <= 3").select("a", "b")
+    return k("a").repartition(partitions(spark), "block").join(k("b"), "block").where("a < b and abs(length(a) - length(b)) <= 3").select("a", "b")
 
 
 _PAIRS_SQL = """n as (select distinct regexp_replace(lower(name), '[^ -~]', '?', 'g') nm from entity_records where name is not null and length(trim(name)) >= 4), k as (select nm, substr(nm, 1, 4) b from n),

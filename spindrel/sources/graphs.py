@@ -29,8 +29,8 @@ def star_nodes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def star_edges(spark: SparkSession, d: str, types: tuple[str, ...] | None = None) -> DataFrame:
-    """Edges (source, target, type, weight); ``types`` keeps unneeded tables from being read."""
+def star_edges(spark: SparkSession, d: str, types: tuple[str, ...] | None = None, once: bool = True) -> DataFrame:
+    """Edges (source, target, type, weight); ``types`` keeps unneeded tables from being read, ``once=False`` gives derived edges as often as they are found."""
 
     def ref(type_: str, key: str) -> Column:
         return F.concat(F.lit(type_ + ":"), F.col(key).cast("string"))
@@ -48,7 +48,8 @@ def star_edges(spark: SparkSession, d: str, types: tuple[str, ...] | None = None
     ]
     kept = [p for t, p in parts if types is None or t in types]
     if types is None or "supplies" in types:
-        kept.append(table(spark, d, "lineitem").select(ref("supplier", "l_suppkey").alias("source"), ref("part", "l_partkey").alias("target")).distinct().select("source", "target", F.lit("supplies").alias("type"), one.alias("weight")))
+        kept.append(table(spark, d, "lineitem").select(ref("supplier", "l_suppkey").alias("source"), ref("part", "l_partkey").alias("target")).select("source", "target", F.lit("supplies").alias("type"), one.alias("weight")))
+        kept[-1] = kept[-1].distinct() if once else kept[-1]
     out = kept[0]
     for p in kept[1:]:
         out = out.unionByName(p)
