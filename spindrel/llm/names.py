@@ -29,6 +29,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -51,9 +52,18 @@ PHONETIC = str.maketrans("bpfvwckqgszxdtyj", "ppfffkkkksssttii")
 VOWELS = str.maketrans("eiouy", "aaaaa")
 
 
+@lru_cache(200_000)
+def letters(a: str) -> int:
+    """Bits of the letters that occur; an edit changes at most two of them."""
+    out = 0
+    for c in a:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 def edits(a: str, b: str, most: int = 2) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours; ``most + 1`` if more."""
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or (letters(a) ^ letters(b)).bit_count() > 2 * most:
         return most + 1
     before, last = None, list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
@@ -347,9 +357,9 @@ def _pairs(least: float):
     """Accepted pairs of each block; the input comes block by block."""
 
     def across(xs: list[tuple], ys: list[tuple], open_: bool) -> Iterator[tuple]:
-        for f, root in xs:
-            for g, other in ys:
-                if f != g and same_root(root, other, least):
+        for f, root, bits in xs:
+            for g, other, bits2 in ys:
+                if (bits ^ bits2).bit_count() <= 4 and f != g and same_root(root, other, least):
                     yield f, g, open_
 
     def compare(rows: list[tuple]) -> Iterator[tuple]:
@@ -358,7 +368,7 @@ def _pairs(least: float):
         rare: dict[str, int] = {}
         for form, root, comp, open_, n in rows:
             if not open_:
-                closed.setdefault(comp, []).append((form, root))
+                closed.setdefault(comp, []).append((form, root, letters(root)))
                 if n:
                     rare[comp] = n
         for same in closed.values():
@@ -377,7 +387,7 @@ def _pairs(least: float):
             if open_:
                 for d in closed:
                     if fits(comp, d):
-                        yield from across([(form, root)], closed[d], True)
+                        yield from across([(form, root, letters(root))], closed[d], True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows, out = None, [], []
@@ -400,7 +410,7 @@ def _pairs(least: float):
 def entities(records: DataFrame, aliases: DataFrame, *, least: float = 0.9, hot: int = 2000) -> DataFrame:
     """(id, entity, spelling): the entity of every record with a name, the hash of its name; ``entity`` is opaque."""
     spark = records.sparkSession
-    rows = records.select("id", "type", "name").where("id is not null and name is not null").distinct()
+    rows = records.select("id", "type", "name").where("id is not null and name is not null").distinct().repartition(partitions(spark))  # reading is Python: not in a few small partitions
     reader = reader_for(rows, aliases)
     forms = rows.mapInArrow(_read(reader), "id string, spelling string, nature string, root string, companions string, open boolean, rare boolean")
     forms = cut(forms.withColumn("form", F.xxhash64("nature", "root", "companions")).withColumn("spelling", F.xxhash64("spelling")), "forms")
