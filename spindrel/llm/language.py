@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +49,20 @@ NOTATIONS = {
 }
 OF_LABEL = {n: lang for lang, names in NOTATIONS.items() for n in names}
 
-MASKED = re.compile(
-    r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|<(?:script|style|code|pre)\b.*?</(?:script|style|code|pre)\s*>|<!--.*?-->|</?[A-Za-z][^<>\n]*>"
-    r"|(?:https?|ftp)://\S+|www\.\S+|[\w.+-]+@[\w-]+\.\S+|&#?\w+;|\]\([^)\s]*\)|[\w./\\-]*[\\/_]\w[\w./\\-]*|\w+\([^)\n]*\)|[\"“„«][^\"“”„«»\n]{1,60}[\"”“»]"
-    r"|^[ \t]*(?:def|import|from|return|class|const|let|var|SELECT|select|function|public|private|for|if|while)\b.*[({=;:].*$|^.*[;{}]\s*$",
-    re.S | re.M,
+#: What is no prose, in the order in which it is tried, each with the characters of which it needs one (any text may hold the others).
+NO_PROSE = (
+    ("", r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|<(?:script|style|code|pre)\b.*?</(?:script|style|code|pre)\s*>|<!--.*?-->|</?[A-Za-z][^<>\n]*>"),
+    ("", r"(?:https?|ftp)://\S+|www\.\S+"),
+    ("@", r"[\w.+-]+@[\w-]+\.\S+"),
+    ("", r"&#?\w+;|\]\([^)\s]*\)"),
+    ("\\/_", r"[\w./\\-]*[\\/_]\w[\w./\\-]*"),
+    ("(", r"\w+\([^)\n]*\)"),
+    ("", r"[\"“„«][^\"“”„«»\n]{1,60}[\"”“»]"),
+    ("", r"^[ \t]*(?:def|import|from|return|class|const|let|var|SELECT|select|function|public|private|for|if|while)\b.*[({=;:].*$|^.*[;{}]\s*$"),
 )
-CODE_LINE = re.compile(r"^[^\n]*$", re.M)
-BREAK = re.compile(r"(?<!\b[A-ZА-Я])(?<!\bMr)(?<!\bMrs)(?<!\bMs)(?<!\bDr)(?<!\bProf)(?<!\bEng)[.!?…]+[\"”»)]*(?=\s|$)|\n+")
+#: Without any of these nothing is masked.
+MAY_MASK = re.compile(r"[`~<@&/\\_(\"“„«{};]|www\.|^[ \t]*(?:def|import|from|return|class|const|let|var|SELECT|select|function|public|private|for|if|while)\b", re.M)
+BREAK = re.compile(r"(?=[.!?…])(?<!\b[A-ZА-Я])(?<!\bMr)(?<!\bMrs)(?<!\bMs)(?<!\bDr)(?<!\bProf)(?<!\bEng)[.!?…]+[\"”»)]*(?=\s|$)|\n+")
 LETTER = re.compile(r"[^\W\d_]")
 END = re.compile(r"[.!?…]+[\"”»)]*\s*$")
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -80,17 +87,30 @@ def _mask(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", found)
 
 
+@cache
+def _masked(needed: tuple[bool, ...]) -> re.Pattern:
+    return re.compile("|".join(p for (_, p), n in zip(NO_PROSE, needed, strict=True) if n), re.S | re.M)
+
+
+def _prose(text: str) -> str:
+    """The text with blanks for what is no prose."""
+    if not MAY_MASK.search(text):
+        return text
+    return _masked(tuple(not chars or any(c in text for c in chars) for chars, _ in NO_PROSE)).sub(_mask, text)
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(begin, end, what counts of it, letters of all of it) of each sentence; without an end mark (a heading) half its letters."""
-    plain = MASKED.sub(_mask, text)
+    plain = _prose(text)
     out, at = [], 0
     for m in [*BREAK.finditer(plain), None]:
         end = m.end() if m else len(plain)
         part = plain[at:end]
         if LETTER.search(part):
             kept = part.strip(" \t\r\n#*->|=•")
-            shown = NAME.sub(r"\1", kept) if not kept.isupper() else kept
-            whole, shown = NOT_LETTER.sub(" ", kept.lower()).strip(), NOT_LETTER.sub(" ", shown.lower()).strip()
+            shown = kept if kept.isupper() else NAME.sub(r"\1", kept)
+            whole = NOT_LETTER.sub(" ", kept.lower()).strip()
+            shown = whole if shown == kept else NOT_LETTER.sub(" ", shown.lower()).strip()
             letters = len(whole) - whole.count(" ")
             if len(shown) - shown.count(" ") < 0.3 * letters:
                 shown = whole
@@ -239,7 +259,7 @@ def _identify(model: Model | None, also_letters: int, margin: float, id_type: pa
                 scores = model.scores([s for x in spans for _, _, s, _ in x]) if model else np.zeros((0, len(LANGS)))
                 out, k = [], 0
                 for t, x in zip(texts, spans, strict=True):
-                    n = len(LETTER.findall(t)) if t else 0
+                    n = len(NOT_LETTER.sub("", t)) if t else 0
                     out.append((n, *(judge(x, scores[k : k + len(x)], also_letters, margin) if x else (None, 0.0, [], []))))
                     k += len(x)
                 cols = list(zip(*out, strict=True)) or [()] * 5
