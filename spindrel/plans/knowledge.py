@@ -524,7 +524,10 @@ def cluster_themes(spark: SparkSession, d: str) -> DataFrame:
     return groups.themes(m.join(_entities(spark, d), "id").select("cluster", "type", "name"))
 
 
-@query()
+@query("""with x as (select vec_id, embedding::double[] a, list_concat(embedding[33:64]::double[], embedding[1:32]::double[]) b from embeddings),
+s as (select *, list_dot_product(a, a) / 8 aa, list_dot_product(a, b) / 8 ab, list_dot_product(b, b) / 8 bb from x), w as (select *, exp(aa - greatest(aa, ab)) p, exp(ab - greatest(aa, ab)) q, exp(ab - greatest(ab, bb)) r, exp(bb - greatest(ab, bb)) t from s),
+f as (select vec_id, list_transform(list_zip(a, b), lambda z: ((p * z[1] + q * z[2]) / (p + q) + (r * z[1] + t * z[2]) / (r + t)) / 2) v from w)
+select vec_id as id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as norm, round(v[1], 6) as first from f""")
 def fused_attention(spark: SparkSession, d: str) -> DataFrame:
     """Attention over each vector and its halves swapped."""
     v = F.col("embedding").cast("array<double>")
@@ -550,18 +553,28 @@ def ego_traverse(spark: SparkSession, d: str) -> DataFrame:
     return traversal.ego(graphs.star_nodes(spark, d), graphs.star_edges(spark, d, ("part_of", "located_in")), "nation:3", 3, 100).select("id", "depth")
 
 
+_PLACES_IN = f"""{_EDGES}, ed as (select source, target, lpad(length(source)::varchar, 4, '0') || source as o from edges where type in ('part_of', 'located_in')),
+n as (select source as id, row_number() over (order by o) p from ed where target = 'region:1'), l as (select ed.source as id, n.id as parent, p, o from ed join n on ed.target = n.id),
+k as (select (select count(*) from n) c, (select count(*) from l) m)"""
+
+
+def _ordered_sql(nations: str, leaves: str) -> str:
+    return f"""with {_PLACES_IN}, r as (select 0 as pos, 'region:1' as id, 'region:1' as path union all select (row_number() over (order by {nations}))::int, id, 'region:1>' || id from n
+union all select ((select c from k) + row_number() over (order by {leaves}))::int, id, 'region:1>' || parent || '>' || id from l) select pos, id, path, (1 + c)::int as visited, (c + m)::int as edges, 1::int as depth from r, k"""
+
+
 def _ordered(spark: SparkSession, d: str, way: str) -> DataFrame:
     edges = graphs.star_edges(spark, d, ("part_of", "located_in"))
     edges = edges.withColumn("ord", F.concat(F.lpad(F.length("source").cast("string"), 4, "0"), "source"))
-    return traversal.ordered(graphs.star_nodes(spark, d), edges, "region:1", 1, 400, way=way, direction="in")
+    return traversal.ordered(graphs.star_nodes(spark, d), edges, "region:1", 1, 1_000_000, way=way, direction="in")
 
 
-@query()
+@query(_ordered_sql("p", "p, o"))
 def bfs_ordered(spark: SparkSession, d: str) -> DataFrame:
     return _ordered(spark, d, "breadth")
 
 
-@query()
+@query(_ordered_sql("p desc", "p, o desc"))
 def dfs_ordered(spark: SparkSession, d: str) -> DataFrame:
     return _ordered(spark, d, "depth")
 
@@ -657,6 +670,24 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "memories").select(F.col("memory_id").alias("id"), F.col("content").alias("text")).dropDuplicates(["id"])
 
 
+_CAPS = r"[A-Z][\p{L}\p{N}&]*"
+_NOUN = rf"{_CAPS}(?:\s+{_CAPS}){{0,3}}"
+_BETWEEN = rf"({_NOUN})\s+((?:(?:{extraction.VERBS})(?:\s+(?:{extraction.PREPOSITIONS}))?)|{extraction.PREPOSITIONS})\s+(?:the\s+|a\s+|an\s+)?({_NOUN})"
+_OWNS = rf"({_NOUN})('s)\s+({_NOUN})".replace("'", "''")
+_PRON = "(" + ", ".join(f"'{p}'" for p in extraction.PRONOUNS) + ")"
+
+
+@query(f"""with t as (select memory_id as id, trim(regexp_replace(regexp_replace(any_value(content), '[\\s ]+', ' ', 'g'), '[‘’]', chr(39), 'g')) as text from memories where length(trim(content)) > 0 group by 1),
+s0 as (select id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) > 0) a from t),
+s as (select id, unnest(range(0, len(a)))::int as pos, unnest(a) as sentence from s0),
+m as (select id, pos, unnest(regexp_extract_all(sentence, '{_BETWEEN}', 1)) h, unnest(regexp_extract_all(sentence, '{_BETWEEN}', 2)) v, unnest(regexp_extract_all(sentence, '{_BETWEEN}', 3)) d from s),
+o as (select id, pos, unnest(regexp_extract_all(sentence, '{_OWNS}', 1)) h, unnest(regexp_extract_all(sentence, '{_OWNS}', 3)) d from s),
+dep as (select id, pos, h as head, regexp_replace(lower(v), '\\s+', '_', 'g') as relation, d as dependent from m union all select id, pos, h, 'owns', d from o)
+select id, pos, head, relation, dependent, count(*) as n from dep where head <> dependent and lower(head) not in {_PRON} and lower(dependent) not in {_PRON} group by all""")
+def dependency_counts(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.dependencies(_texts(spark, d)).groupBy("id", "pos", "head", "relation", "dependent").agg(F.count("*").alias("n"))
+
+
 @query()
 def rule_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return extraction.dependencies(_texts(spark, d))
