@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     without the setting this raises instead of writing to one machine.
     """
     sc = spark.sparkContext
-    path = sc.getConf().get(CHECKPOINT_KEY) or getattr(sc, "_spindrel_dir", None)
+    path = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or getattr(sc, "_spindrel_dir", None)
     if path is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")

@@ -745,3 +745,124 @@ def replayed_log(spark: SparkSession, d: str) -> DataFrame:
 def property_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "graph_nodes").select("id", F.explode(F.map_entries("properties")).alias("e"))
     return e.select("id", F.concat_ws("=", "e.key", "e.value").alias("entry")).distinct()
+
+
+# -- maintenance and names ------------------------------------------------------------------------
+
+_NAMES = "nm as (select distinct name from entity_records where length(trim(name)) > 0)"
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entity_records").where("length(trim(name)) > 0").select("name").distinct()
+
+
+@query("select distinct id, type from graph_nodes where id in (select min(id) from graph_nodes union select max(id) from graph_nodes)")
+def node_lookup(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "graph_nodes")
+    ends = nodes.agg(F.min("id"), F.max("id")).first()
+    return graphs.by_id(nodes, list(ends)).select("id", "type").distinct()
+
+
+@query("select distinct id from temporal_edges where id not in (select min(id) from temporal_edges)")
+def remove_edge(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "temporal_edges")
+    return graphs.without_edges(edges, [edges.agg(F.min("id")).first()[0]]).select("id").distinct()
+
+
+@query("""with n as (select distinct id from graph_nodes), e as (select distinct on (id) id, source, target, temporal_type from temporal_edges), k as (select *, case when temporal_type = 'fact' then 0 else 1 end f from e where temporal_type = 'fact' or (source in (select id from n) and target in (select id from n)))
+select id, source from k qualify row_number() over (partition by source order by f, id) <= 3""")
+def capped_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Facts are there, other edges are added if their ends exist; three edges a source."""
+    e = table(spark, d, "temporal_edges").select("id", "source", "target", "temporal_type").dropDuplicates(["id"])
+    fact = F.coalesce(F.col("temporal_type") == "fact", F.lit(False))
+    return graph.add_edges(e.where(fact), e.where(~fact), table(spark, d, "graph_nodes").select("id"), 3, "id").select("id", "source")
+
+
+@query("""with n as (select id, any_value(type) as type from graph_nodes group by 1), m as (select distinct unnest(members) as id from memory_clusters)
+select coalesce(n.id, m.id) as id, case when m.id is not null then 'member' else n.type end as type from n full join m using (id) where coalesce(n.id, m.id) is not null""")
+def upserted_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "graph_nodes").groupBy("id").agg(F.first("type").alias("type"))
+    m = table(spark, d, "memory_clusters").select(F.explode("members").alias("id")).where("id is not null").distinct().withColumn("type", F.lit("member"))
+    return graph.upsert_nodes(n, m).select("id", "type")
+
+
+@query("select epoch_us(created_at) as tick, type as op, id from (select distinct on (id) id, type, created_at from temporal_edges) order by created_at desc, id limit 100")
+def operation_history(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "temporal_edges").select(F.col("created_at").alias("at"), F.col("type").alias("op"), "id").dropDuplicates(["id"])
+    return graphs.history(log).select(F.unix_micros("at").alias("tick"), "op", "id")
+
+
+@query("select id from (select distinct id from graph_nodes where id is not null) order by id limit 25 offset 50")
+def paged_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.page(table(spark, d, "graph_nodes").where("id is not null").select("id").distinct(), [F.col("id")], 50, 25)[0]
+
+
+@query("select distinct id, lower(type) as label from graph_nodes where type is not null")
+def node_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "graph_nodes").where("type is not null").select("id", F.lower("type").alias("label")).distinct()
+
+
+@query(f"with {_NAMES} select name, trim(regexp_replace(regexp_replace(name, '[\\s ]+', ' ', 'g'), '[‘’]', chr(39), 'g')) as plain from nm")
+def normal_space(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).select("name", extraction.normal_space(F.col("name")).alias("plain"))
+
+
+_ORG = f"""(regexp_matches(name, '(?i)\\b(?:{extraction.COMPANY}|{extraction.INSTITUTION})\\b') or (regexp_matches(name, '^[A-Z][a-z]*[A-Z][A-Za-z]*$') and length(name) > 3) or regexp_matches(name, '^[A-Z]{{3,}}$')
+or (len(string_split_regex(name, '\\s+')) >= 2 and regexp_matches(name, '^[A-Z]\\S*(?:\\s+[A-Z]\\S*)+$') and not regexp_matches(name, '^[A-Z][a-z]+\\s+[A-Z][a-z]+$')))"""
+
+
+@query(f"with {_NAMES} select name from nm where {_ORG}")
+def organization_names(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).where(extraction.looks_like_organization(F.col("name")))
+
+
+_TYPED = f"""case when regexp_matches(name, '(?i)\\b(?:{extraction.COMPANY})\\b') or regexp_matches(name, '(?i)\\b(?:{extraction.INSTITUTION})\\b') or (regexp_matches(name, '^[A-Z][a-z]*[A-Z][A-Za-z]*$') and length(name) > 3) or regexp_matches(name, '^[A-Z]{{3,}}$') or (ext and regexp_matches(name, '^[A-Z]')) then 'organization'
+when regexp_matches(name, '(?i)^(?:{extraction.TITLE})\\b') or regexp_matches(name, '^[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{1,2}}$') or (not ext and regexp_matches(name, '^[A-Z][a-z]+$')) then 'person'
+when regexp_matches(name, '(?i)\\b(?:{extraction.PLACE})\\b') or regexp_matches(name, '^[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*,\\s*[A-Z]{{2}}$') then 'location' else 'concept' end"""
+
+
+@query(f"with {_NAMES}, x as (select name, ext from nm, (values (true), (false)) t(ext)) select name, ext as dependent, {_TYPED} as type, {_TYPED} || '_' || regexp_replace(lower(name), '\\s+', '_', 'g') as entity from x")
+def typed_names(spark: SparkSession, d: str) -> DataFrame:
+    """Type and id of each name as the subject of ``works`` and as what follows ``works_at``."""
+    rows = _names(spark, d).select("name", F.explode(F.array(F.lit(True), F.lit(False))).alias("dependent"))
+    rel = F.when(F.col("dependent"), "works_at").otherwise("works")
+    rows = rows.withColumn("type", extraction.entity_type(F.col("name"), rel, ~F.col("dependent")))
+    return rows.withColumn("entity", extraction.entity_id(F.col("name"), F.col("type")))
+
+
+_NOT = "[" + ", ".join(f"'{w}'" for w in texts.STOP + extraction.PRONOUNS) + "]"
+
+
+@query(f"with {_NAMES} select name from nm where len(string_split_regex(name, '\\s+')) <= 4 and regexp_matches(name, '[a-zA-Z]') and not regexp_matches(lower(name), '^(?:a|an|the|of|{extraction.PREPOSITIONS})\\s') and not list_contains({_NOT}, lower(name))")
+def valid_names(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).where(extraction.valid_entity(F.col("name")))
+
+
+_CTX = " ".join(f"when regexp_matches(c, '\\b(?:{w})\\b') then '{t}'" for t, w in extraction.CONTEXT.items())
+
+
+@query(f"""with t as (select distinct on (memory_id) memory_id as id, string_split_regex(lower(content), '\\s+') as w from memories where length(trim(content)) > 0), p as (select id, w, list_position(w, 'team') as i from t where list_contains(w, 'team')),
+x as (select id, array_to_string(w[greatest(1, i - 3):i + 3], ' ') as c from p) select id, c as context, case {_CTX} else 'concept' end as type from x""")
+def context_types(spark: SparkSession, d: str) -> DataFrame:
+    """Words around the first ``team`` of each text, and the type they tell."""
+    rows = _texts(spark, d).where("length(trim(text)) > 0").select("id", extraction.context_of(F.col("text"), F.lit("team")).alias("context")).where("context <> ''")
+    return rows.select("id", "context", extraction.type_by_context(F.col("context"), F.lit("concept")).alias("type"))
+
+
+@query("select session_id as id, count(*) as uses, epoch_us(max(ts)) as last from memories where session_id is not null and ts is not null group by 1")
+def access_usage(spark: SparkSession, d: str) -> DataFrame:
+    acc = table(spark, d, "memories").where("session_id is not null and ts is not null").select(F.col("session_id").alias("id"), F.col("ts").alias("at"))
+    return retention.usage(acc).select("id", "uses", F.unix_micros("last").alias("last"))
+
+
+@query("select p_partkey as id, case when abs(p_size::double / (p_partkey % 50 + 1) - 1) < 0.2 then '672x672' when p_size::double / (p_partkey % 50 + 1) < 1 then '336x1344' else '1344x336' end as target from part")
+def image_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Target sizes of images of ``p_size`` by a side from the key."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), graphs.image_target(F.col("p_size"), F.col("p_partkey") % 50 + 1).alias("target"))
+
+
+@query("select token, count(*) as n, round(count(*)::double / (select count(*) from documents), 9) as share from (select doc_id, unnest(list_distinct(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: length(x) between 2 and 50))) as token from documents) group by 1")
+def token_stats(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    n = docs.count()
+    return texts.postings(docs, "doc_id", "text").groupBy("token").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / float(max(n, 1)), 9))
