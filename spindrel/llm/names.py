@@ -132,6 +132,12 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in rest for c in short) and len(short) <= len(word) * 0.75
 
 
+def longer_of(short: str, words: list[str]) -> str | None:
+    """The first word that the short one begins, else the first one that it abbreviates otherwise."""
+    got = [m for m in words if abbreviates(short, m)]
+    return next((m for m in got if m.startswith(short)), got[0] if got else None)
+
+
 class Reader:
     """Reads names with the given names, nicknames and branch words of a collection."""
 
@@ -148,7 +154,7 @@ class Reader:
         for w in sorted(branch, key=lambda w: (-branch[w], w)):
             if len(w) < 2 or w in LEGAL:
                 continue
-            to = next((m for m in main if abbreviates(w, m)), None)
+            to = longer_of(w, main)
             if to is None and len(w) >= 5:
                 to = next((m for m in main if len(m) >= 5 and edits(w, m, 2) <= (2 if len(w) >= 8 else 1)), None)
             if to is None and len(w) >= 4:
@@ -174,6 +180,9 @@ class Reader:
             return frozenset(self.nick[w])
         if w in self.given:
             return frozenset([w])
+        short = self._diminutive(w)
+        if short:
+            return short | frozenset(g for g in self.given if g.startswith(w))
         if dotted or len(w) <= 3 and any(g.startswith(w) for g in self.given):
             return frozenset([w + "*"])
         for most in (1, 2):
@@ -183,6 +192,19 @@ class Reader:
         near = frozenset(x for n, full in self.nick.items() if len(n) > 3 and edits(w, n, 1) <= 1 for x in full)
         return near or frozenset([w])
 
+    def _diminutive(self, w: str) -> frozenset[str]:
+        """What a short name stands for that differs from a known one by y, ie or i at the end, the letter before perhaps doubled (Bob, Bobby)."""
+        for end in ("ie", "y", "i"):
+            stem = w[: -len(end)]
+            if w.endswith(end) and len(stem) >= 2:
+                for k in (stem, stem[:-1] if len(stem) > 2 and stem[-1] == stem[-2] else ""):
+                    if k in self.nick:
+                        return frozenset(self.nick[k])
+            for k in (w + end, w + w[-1] + end):
+                if len(w) >= 3 and k in self.nick:
+                    return frozenset(self.nick[k])
+        return frozenset()
+
     def _like_given(self, w: str) -> bool:
         return any(g in self.given or g.endswith("*") for g in self.given_names(w, False))
 
@@ -192,7 +214,7 @@ class Reader:
         if w not in self.seen_branch:
             if len(self.seen_branch) > 200_000:
                 self.seen_branch.clear()
-            got = next((m for m in self.main if abbreviates(w, m)), None) if len(w) <= 6 else None
+            got = longer_of(w, self.main) if len(w) <= 6 else None
             if got is None and len(w) >= 4:
                 near = [(d, m) for m in self.main if abs(len(m) - len(w)) <= 2 and (d := edits(w, m, 2)) <= (2 if len(w) >= 6 else 1)]
                 got = min(near)[1] if near else None
@@ -209,7 +231,7 @@ class Reader:
             else:
                 content = [w for w in words if len(w) > 1 and w not in TITLES]
                 glued = re.findall(r"[^\W_]+", _plain(name).lower())
-                if any(w in LEGAL for w in words + notes) or any(w not in self.known and self.branch_word(w) for w in content if len(w) > 3) or any(self._glued(w) for w in glued):
+                if any(w in LEGAL for w in words + notes) or any(w not in self.known and self.branch_word(w) for w in content if len(w) > 3 or w in self.branch) or any(self._glued(w) for w in glued):
                     nature = "org"
                 elif len(content) == 1 and len(words) == 1:
                     nature = "project"
@@ -245,7 +267,12 @@ class Reader:
         return "org", "".join(roots), (" ".join(sorted({m for m in marks if m})),)
 
     def _person(self, name: str, words: list[str]) -> tuple[str, str, tuple[str, ...]] | None:
-        text = re.sub(r"[\"“”„][^\"“”„]+[\"“”„]", " ", _remarks(_plain(name))[0]).replace("_", " ").lower()
+        text = re.sub(r"[\"“”„][^\"“”„]+[\"“”„]", " ", _remarks(_plain(name))[0]).replace("_", " ")
+        if len(re.findall(r"[^\W_]+", text)) == 1:  # given name and surname glued
+            text = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text)
+            word = text.strip().lower()
+            text = next((f"{word[:k]} {word[k:]}" for k in range(len(word) - 5, 4, -1) if word[:k] in self.given), text)
+        text = text.lower()
         dotted = set(re.findall(r"([^\W_]+)\.", text))
         left, comma, right = text.partition(",")
         ws = [w for w in re.findall(r"[^\W_]+", text) if w not in TITLES]

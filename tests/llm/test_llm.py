@@ -96,6 +96,9 @@ def test_names():
     assert r.read("Lifataso, Debbie", "person") == r.read("DEBORAH  LIFATASO (she)", None) == ("person", "lifataso", ("deborah",))
     assert r.read("Hupefax Cons.", "ORG") == r.read("HupefaxConsulting", None) == ("org", "hupefax", ("consulting",))
     assert r.read("PRJ-Zivobecex", "proj") == r.read("Zivobecex (project)", None)
+    assert r.read("DeborahLifataso", "person") == r.read("DEBORAHLIFATASO", "person") == r.read("Deborah Lifataso", "person")
+    b = names.Reader({"robert": 9}, {"studio": 5, "systems": 9}, [("bobby", "robert")])
+    assert b.read("Bob Hupefalo", "person") == b.read("Robert Hupefalo", "person") and b.read("Hupefax St.", "org") == b.read("Hupefax Studio", "org")
     assert names.placeholder("N/A") and names.placeholder(None) and names.edits("kofi", "kfoi") == 1
 
 
