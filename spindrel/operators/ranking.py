@@ -261,6 +261,8 @@ def contextual(messages: DataFrame, nodes: DataFrame, keyword_of: Column, most:
     w = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("turn")))
     words = messages.withColumn("_r", w).where(F.col("_r") <= last).select("conv", F.explode(keyword_of).alias("word")).distinct()
     posts = nodes.where("text is not null").select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word"))
+    first = F.row_number().over(Window.partitionBy("word").orderBy("id"))
+    posts = posts.withColumn("_f", first).where(F.col("_f") <= most)  # only the first nodes of a word can be among the first of a conversation
     hits = words.join(posts, "word").select("conv", "id").distinct()
     r = F.row_number().over(Window.partitionBy("conv").orderBy("id"))
     return hits.withColumn("r", r).where(F.col("r") <= most).select("conv", "id")
