@@ -267,8 +267,8 @@ def _verify(least: float):
             s = np.array([overlap(x, y) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)])
             ok = pa.array(s >= least) if len(s) else pa.array([], pa.bool_())
             kept = batch.filter(ok)
-            cols = [kept.column(c) for c in ("kind", "id_a", "id_b", "cls_a", "cls_b")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s[s >= least].astype(np.float64))], names=["kind", "id_a", "id_b", "cls_a", "cls_b", "similarity"])
+            cols = [kept.column(c) for c in ("kind", "id_a", "id_b", "a", "b")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(s[s >= least].astype(np.float64))], names=["kind", "id_a", "id_b", "a", "b", "similarity"])
 
     return run
 
@@ -294,7 +294,8 @@ def class_links(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verified links between class representatives, the class of every row, and classes of several rows.
 
-    (kind, id_a, id_b, cls_a, cls_b, similarity), rows may repeat; (kind, id, cls, h), likewise; (cls, first h).
+    (kind, id_a, id_b, a, b, similarity), rows may repeat, a and b are the hashes of the representatives;
+    (kind, id, cls, h), likewise; (cls, first h), whose row represents the class.
     """
     spark = df.sparkSession
     kind = F.col(kind_col).cast("string") if kind_col else F.lit("")
@@ -319,13 +320,12 @@ def class_links(
     near = blobs.exchange(scattered, parts).mapInArrow(_compare(threshold - 0.25, threshold * 0.98), "a long, b long").distinct()
     pairs = cut(near, "candidates")
     asked = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    known = sig.select("h", "cls").distinct()
-    texts = base.join(asked.hint("merge"), "h").join(known.hint("merge"), "h")  # no side is small when the collection is not
-    a = texts.select(F.col("h").alias("a"), "kind", F.col("id").alias("id_a"), F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("h").alias("b"), F.col("kind").alias("kind_b"), F.col("id").alias("id_b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
+    texts = base.join(asked.hint("merge"), "h")  # no side is small when the collection is not
+    a = texts.select(F.col("h").alias("a"), "kind", F.col("id").alias("id_a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("h").alias("b"), F.col("kind").alias("kind_b"), F.col("id").alias("id_b"), F.col("text").alias("text_b"))
     both = a.join(pairs.hint("merge"), "a").join(b.hint("merge"), "b").where("kind = kind_b")
-    links = both.select("kind", "id_a", "id_b", "cls_a", "cls_b", "text_a", "text_b").mapInArrow(
-        _verify(threshold), "kind string, id_a string, id_b string, cls_a long, cls_b long, similarity double"
+    links = both.select("kind", "id_a", "id_b", "a", "b", "text_a", "text_b").mapInArrow(
+        _verify(threshold), "kind string, id_a string, id_b string, a long, b long, similarity double"
     )
     return links, sig.select("kind", "id", "cls", "h"), copies
 
@@ -340,14 +340,14 @@ def near_copy_pairs(df: DataFrame, *, expand: int = 50, **how) -> DataFrame:
     links, members, copies = class_links(df, **how)
     many = cut(members.join(copies, "cls").distinct(), "members")
     sizes = many.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.when(F.col("h") == F.col("first"), F.col("id"))).alias("lead"))
-    many = many.join(sizes, "cls").select("kind", "cls", "id", "n", F.col("lead").alias("first"))
-    few = many.where(F.col("n") <= expand).select("kind", "cls", "id")
+    many = many.join(sizes, "cls").select("kind", F.col("first").alias("head"), "id", "n", F.col("lead").alias("first"))
+    few = many.where(F.col("n") <= expand).select("kind", "head", "id")
     order = lambda p: p.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b")
-    inside = order(few.select("kind", "cls", F.col("id").alias("x")).join(few.select("kind", "cls", F.col("id").alias("y")), ["kind", "cls"]))
+    inside = order(few.select("kind", "head", F.col("id").alias("x")).join(few.select("kind", "head", F.col("id").alias("y")), ["kind", "head"]))
     star = order(many.where(F.col("n") > expand).select("kind", F.col("first").alias("x"), F.col("id").alias("y")))
-    left = few.select("kind", F.col("cls").alias("cls_a"), F.col("id").alias("xa"))
-    right = few.select("kind", F.col("cls").alias("cls_b"), F.col("id").alias("xb"))
-    across = links.join(left, ["kind", "cls_a"], "left").join(right, ["kind", "cls_b"], "left")
+    left = few.select("kind", F.col("head").alias("a"), F.col("id").alias("xa"))
+    right = few.select("kind", F.col("head").alias("b"), F.col("id").alias("xb"))
+    across = links.join(left, ["kind", "a"], "left").join(right, ["kind", "b"], "left")
     across = order(across.select("kind", F.coalesce("xa", "id_a").alias("x"), F.coalesce("xb", "id_b").alias("y")))
     return inside.union(star).union(across).distinct()
 
@@ -358,13 +358,14 @@ def near_copy_groups(df: DataFrame, **how) -> DataFrame:
     ``group_id`` is the first id of the connected near-copies, ``links`` the
     number of other word multisets that the row's own is linked to.
     """
-    links, members, _ = class_links(df, **how)
-    links, members = cut(links.distinct(), "links"), members.select("kind", "id", "cls").distinct()
+    links, members, copies = class_links(df, **how)
+    links = cut(links.distinct(), "links")
+    members = members.join(copies, "cls", "left").select("kind", "id", F.coalesce("first", "h").alias("head")).distinct()
     name = lambda c: F.concat_ws("\x1f", F.col("kind"), F.col(c).cast("string"))
-    comp = connected_components(links.select(name("cls_a").alias("a"), name("cls_b").alias("b")))
-    ends = links.select("kind", F.col("cls_a").alias("cls")).union(links.select("kind", F.col("cls_b").alias("cls")))
-    degree = ends.groupBy("kind", "cls").agg(F.count("*").alias("links"))
-    rows = members.withColumn("node", F.concat_ws("\x1f", "kind", F.col("cls").cast("string"))).join(comp, "node", "left").join(degree, ["kind", "cls"], "left")
+    comp = connected_components(links.select(name("a").alias("a"), name("b").alias("b")))
+    ends = links.select("kind", F.col("a").alias("head")).union(links.select("kind", F.col("b").alias("head")))
+    degree = ends.groupBy("kind", "head").agg(F.count("*").alias("links"))
+    rows = members.withColumn("node", name("head")).join(comp, "node", "left").join(degree, ["kind", "head"], "left")
     rows = rows.select("kind", "id", F.coalesce("component", "node").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
     groups = rows.groupBy("kind", "c").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size")).where("group_size > 1")
     return rows.join(groups, ["kind", "c"]).select("kind", "id", "group_id", "group_size", "links")
