@@ -29,6 +29,7 @@ INSTITUTION = "University|College|Institute|Foundation|Society|Association|Schoo
 PLACE = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Plaza|Square|Circle|Court|Ct"
 TITLE = "Mr|Mrs|Ms|Dr|Prof|Professor|Sir|Lady|Captain|Colonel"
 PREPOSITIONS = "at|in|on|for|with|by|to|from"
+# own choice: verbs that the patterns know
 VERBS = "is|was|are|were|has|have|had|owns|knows|knew|manages|managed|leads|led|heads|headed|works|worked|lives|lived|employed|located|collaborates|studies|teaches|partners|joined|founded|created|develops|studied|visited|met|moved|supports|involves|researches"
 #: Semantic relations of what stands between two nouns.
 RELATIONS = {
