@@ -152,6 +152,46 @@ def test_clusters_many_and_small(spark):
     assert sum(len({got.get(f"{c}-{i}", c) for i in range(4)}) == 1 for c in range(600)) >= 590 and found.count() >= 590
 
 
+def test_clusters_take_rows_of_any_cell(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((4, 64))
+    x = {f"{c}-{i}": v + 1.1 * rng.standard_normal(64) for c, v in enumerate(centres) for i in range(150)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "id string, embeddings array<float>")
+    sizes = []
+    for piece in (2048, 2):  # the second compares rows with the clusters in pieces
+        monkeypatch.setattr(clusters, "PIECE", piece)
+        members, found = clusters.cluster(df, cell=8)
+        got = {r["id"]: (r["cluster"], r["affinity"]) for r in members.collect()}
+        centre = {r["cluster"]: np.array(r["centroid"]) for r in found.collect()}
+        least = {c: min(a for k, a in got.values() if k == c) for c in centre}
+        for k, v in x.items():  # whoever is as much alike as a member is one
+            near, c = max((float(v @ m) / np.linalg.norm(v), c) for c, m in centre.items())
+            assert near < least[c] + 1e-5 or got[k][0] == c
+        sizes.append(sorted(r["size"] for r in found.collect()))
+    assert len(sizes[0]) == 4 and sizes[0] == sizes[1]
+
+
+def test_clusters_link_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 64))
+    y = x + 0.75 * rng.standard_normal((400, 64))
+    alike = (x * y).sum(axis=1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1) >= 0.605
+    rows = [(f"{k}{i}", v.tolist()) for k, z in (("x", x), ("y", y)) for i, v in enumerate(z)]
+    df = spark.createDataFrame(rows, "id string, embeddings array<float>")
+    members, _ = clusters.cluster(df, least_size=2, row_edge=0.6, row_block=16, node_block=16, one_block=32)  # ends with joins over several groups
+    got = {r["id"]: r["cluster"] for r in members.collect()}
+    assert alike.sum() > 390 and all(got.get(f"x{i}", 0) == got.get(f"y{i}", 1) for i in np.flatnonzero(alike))
+
+
+def test_blocks_have_no_most_links():
+    rng = np.random.default_rng(7)
+    x = np.zeros((640, 64))
+    x[:, 0], x[:320, 1], x[320:, 1] = 1, 0.4, -0.4
+    x[:, 2:] = 0.02 * rng.standard_normal((640, 62))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    assert (x @ x.T).min() > 0.6 and len(set(clusters.block_attractors(x, edge=0.6, power=0.0, inflation=2.0).tolist())) == 1  # links of one weight
+
+
 def test_markov_by_joins_equals_one_block(spark):
     rng = np.random.default_rng(9)
     w = rng.random((30, 30)) * (rng.random((30, 30)) < 0.03)
