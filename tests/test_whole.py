@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spindrel.operators import similarity
+from spindrel.operators import linking, similarity
 
 
 def _names() -> list[str]:
@@ -40,3 +40,33 @@ def test_many_jaro_winklers_equal_single_ones():
     word = lambda: "".join(r.choice("abcé ") for _ in range(r.randint(0, 12)))
     a, b = [word() for _ in range(2000)], [word() for _ in range(2000)]
     assert similarity.winklers(a, b).tolist() == [similarity.winkler(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def _linked(spark):
+    e = spark.createDataFrame(
+        [("e1", "person", "Ann Lee", {"name": "Ann Lee", "status": "on call"}), ("e2", "person", "nn Le", None), ("e3", "project", "Brick", {}), ("e4", "skill", "*", None), ("e5", None, "very quick review", None), ("e6", "event", "Fair", {"status": ""}), ("e7", "person", " ", {"status": ""})],
+        "id string, type string, name string, properties map<string,string>",
+    )
+    c = spark.createDataFrame(
+        [("c1", "Joann Leeds met them; she was on call", "sentence"), ("c2", "Bricks!", None), ("c3", "quick review", None), ("c4", "* when", "sentence"), ("c5", "ann  lee", None), ("c6", " ", None), ("c7", "they say nothing on  calls", None), ("c8", "very quick reviews", None)],
+        "id string, text string, kind string",
+    )
+    return e, c
+
+
+def test_links_by_parts_of_words_short_texts_and_properties(spark):
+    e, c = _linked(spark)
+    got = {(r.entity, r.chunk) for r in linking.mentions(e, c).collect()}
+    assert got == {("e1", "c1"), ("e1", "c5"), ("e2", "c1"), ("e2", "c5"), ("e3", "c2"), ("e4", "c4"), ("e5", "c8")}
+    rel = spark.createDataFrame([("r", "e1", "e2", "knows")], "id string, source string, target string, type string")
+    assert [(r.relationship, r.chunk) for r in linking.evidence(rel, e, c).collect()] == [("r", "c1")]
+
+
+def test_grounding_equals_all_pairs(spark):
+    e, c = _linked(spark)
+    every = {(r.entity, r.chunk): round(r.score, 9) for r in linking.grounding(e, c, 0.0).collect()}
+    assert len(every) == 6 * 7
+    for least in (0.3, 0.45, 0.5, 0.6):
+        got = linking.grounding(e, c, least).collect()
+        assert {(r.entity, r.chunk): round(r.score, 9) for r in got} == {k: v for k, v in every.items() if v >= least} and len(got) == len({(r.entity, r.chunk) for r in got})
+    assert ("e6", "c4") in {k for k, v in every.items() if v >= 0.5}  # no word in common
