@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spindrel.functions.runtime import partitions
 from spindrel.operators import similarity, vectors
+from spindrel.operators.similarity import in_blocks
 
 #: Properties that identify an entity, in this order.
 IDENTIFYING = ("email", "ssn", "id_number", "phone", "url")
@@ -56,14 +57,44 @@ def _blocks(df: DataFrame, name: str) -> DataFrame:
     return rows.select(own.alias(name), F.explode(F.transform(ws, lambda w: F.concat_ws("/", F.lower("type"), w))).alias("block"))
 
 
+def _rarest(df: DataFrame, all_: DataFrame, name: str, share: float) -> DataFrame:
+    """(name, block): what is compared of each entity, for its type and its rarest words, as many as a pair with ``share`` of all words in common can't miss.
+
+    Of n words at least share * n are common, so one of the n - that + 1 rarest is, in one order for all.
+    """
+    rows = df.where("length(trim(name)) > 0 and id is not null").dropDuplicates(["id"])
+    ws = lambda n: F.array_distinct(F.filter(F.split(n, r"\s+"), lambda t: t != ""))
+    n = F.lower("name")
+    used = all_.where("length(trim(name)) > 0").select(F.explode(ws(n)).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    own = rows.select(F.struct("id", n.alias("n"), similarity.sound_code(n).alias("sound"), ws(n).alias("ws"), "embedding").alias(name), F.lower("type").alias("type"))
+    firsts = own.select(F.col(f"{name}.id").alias("id"), F.explode(f"{name}.ws").alias("w")).join(used, "w", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("by"))
+    size = F.size("by")
+    firsts = firsts.select("id", F.explode(F.slice("by", F.lit(1), (size - F.ceil(size * share) + 1).cast("int"))).alias("f")).select("id", F.col("f.w").alias("w"))
+    return own.join(firsts, F.col(f"{name}.id") == F.col("id")).select(name, F.concat_ws("/", "type", "w").alias("block"))
+
+
 def candidates(new: DataFrame, known: DataFrame, least: float = 0.0) -> DataFrame:
     """(id, match, score) of the pairs that share a block and score at least ``least``; each pair once, not itself.
 
-    Jaro-Winkler runs in Python and is at most 1, so it is only taken for
+    Without vectors a high ``least`` needs words in common: such pairs share a
+    block of a rare word. Jaro-Winkler runs in Python and is at most 1, so it is only taken for
     pairs that could reach ``least`` with it; the bound is computed in the JVM, edits first.
     """
     parts = partitions(new.sparkSession)
-    pairs = _blocks(new, "a").repartition(parts, "block").join(_blocks(known, "b"), "block").where("a.id <> b.id and abs(length(a.n) - length(b.n)) <= 0.5 * greatest(length(a.n), length(b.n))")
+    words = (0.6 * least - 0.39) / 0.15 - 1e-9  # the share of common words that a pair without vectors needs if all else is at its best
+    if words > 0:
+        bare = lambda df: df.where("embedding is null")
+        sides = [(bare(new), known), (new.where("embedding is not null"), bare(known))]
+        pairs = None
+        for x, y in sides:
+            a, b = in_blocks(_rarest(x, known, "a", words), _rarest(y, known, "b", words), "block", "a.id", "b.id")
+            both = a.join(b, ["block", "i", "j"]).drop("i", "j")
+            pairs = both if pairs is None else pairs.unionByName(both)
+        valued = lambda df: df.where("embedding is not null")
+        pairs = pairs.unionByName(_blocks(valued(new), "a").repartition(parts, "block").join(_blocks(valued(known), "b"), "block"))
+    else:
+        pairs = _blocks(new, "a").repartition(parts, "block").join(_blocks(known, "b"), "block")
+    pairs = pairs.where("a.id <> b.id and abs(length(a.n) - length(b.n)) <= 0.5 * greatest(length(a.n), length(b.n))")
     vector = F.when(F.col("a.embedding").isNotNull() & F.col("b.embedding").isNotNull(), 0.3).otherwise(0.0)
     edits = (0.6 * least - 0.24 - vector) / 0.15 - 1  # what edits must reach if all else is at its best
     near = pairs.where(similarity.levenshtein_similarity(F.col("a.n"), F.col("b.n")) >= edits).where(_pair_score(F.lit(1.0)) >= least)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spindrel.operators import linking, similarity
+from spindrel.operators import linking, resolution, similarity
 
 
 def _names() -> list[str]:
@@ -70,3 +70,12 @@ def test_grounding_equals_all_pairs(spark):
         got = linking.grounding(e, c, least).collect()
         assert {(r.entity, r.chunk): round(r.score, 9) for r in got} == {k: v for k, v in every.items() if v >= least} and len(got) == len({(r.entity, r.chunk) for r in got})
     assert ("e6", "c4") in {k for k, v in every.items() if v >= 0.5}  # no word in common
+
+
+def test_resolution_by_rare_words_loses_none(spark):
+    names = [n for n in _names() if n.startswith("project") or len(n) > 9]
+    e = spark.createDataFrame([(f"i{k:04}", "project" if k % 3 else None, n, {}, None) for k, n in enumerate(names + [n.title() + " ab" for n in names])], "id string, type string, name string, properties map<string,string>, embedding array<double>")
+    every = {(r.id, r.match) for r in resolution.candidates(e, e).collect() if r.score >= 0.8}
+    blocks = resolution._rarest(e, e, "a", 0.6).count()
+    assert {(r.id, r.match) for r in resolution.candidates(e, e, 0.8).collect()} == every and every
+    assert blocks < resolution._blocks(e, "a").count()  # fewer blocks, so fewer pairs
